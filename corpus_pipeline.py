@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import common, lines, mixing, packing, simhash
+from textloom.llm import common, lines, mixing, packing, quality_rules, simhash
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; every document stays, with n_chars brought up to date."""
+    """Repeated lines go; every document stays, in the columns it came with."""
     return lines.dedup_lines(docs).select(*docs.columns)
 
 
@@ -27,7 +32,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs)
 
 
-STAGES = [("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("source mix", source_mix), ("best-fit packing", best_fit_packing)]
+STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("source mix", source_mix), ("best-fit packing", best_fit_packing)]
 
 #: Fingerprints, the knapsack and the tokenizer are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None

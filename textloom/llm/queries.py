@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import lines, mixing, packing, simhash
+from textloom.llm import licenses, lines, mixing, packing, quality_rules, simhash
 from textloom.llm.common import table
 
 
@@ -23,12 +23,20 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_simhash, op7_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_simhash, op4_license_scan, op6_quality_rules, op7_line_dedup)}
 
 #: Line dedup in DuckDB: the same keys, the smallest doc_id of each, the lines that stay.
 OP7_SQL = r"""
