@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,9 @@ from textloom.llm import common
 
 CAPACITY = 4096
 END = 1
-CACHE = 300_000
+CACHE = 400_000
+#: Marks that form one unit of their own after the letters of a word; an apostrophe may not.
+MARKS = "#$%&*!.,;:?|<>()"
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -51,55 +54,59 @@ class WordEncoder:
 
     def _learn(self, words: Iterable[str]) -> None:
         known = self.cache
-        plain: dict[str, list[tuple[str, bytes]]] = {}
+        waiting: dict[str, list[tuple[str, bytes]]] = {}
         for word in words:
-            if not word.isascii():
-                if word.isalpha():
-                    plain.setdefault(word, []).append((word, b""))
-                else:
-                    known[word] = self._one(word)
-                continue
-            base, tail = word.lower(), b""
-            if base[-1] in ".," and base[:-1].isalpha():
-                mark = base[-1]
-                if mark not in known:
-                    known[mark] = self._one(mark)
-                base, tail = base[:-1], known[mark]
+            base = word.rstrip(MARKS)
+            mark = word[len(base) :]
+            if mark and mark not in known:
+                known[mark] = self._one(mark)
+            tail = known[mark]
+            base = base.lower() if base.isascii() else base
             if base in known:
                 known[word] = known[base] + tail
             elif base.isalpha():
-                plain.setdefault(base, []).append((word, tail))
+                waiting.setdefault(base, []).append((word, tail))
             else:
                 known[word] = self._one(word)
-        if not plain:
+        if not waiting:
             return
         # letters only: each word is one unit and closes with an id of a word's end
-        ids = np.asarray(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(plain):
-            got = [x.tobytes() for x in np.split(ids, stops[:-1])]
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(waiting)], add_special_tokens=False)[0].ids, "<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) == len(waiting):
+            raw = ids.tobytes()
+            got = [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
         else:
-            got = [self._one(w) for w in plain]
-        for (base, users), own in zip(plain.items(), got, strict=True):
+            got = [self._one(w) for w in waiting]
+        for (base, users), own in zip(waiting.items(), got, strict=True):
             known[base] = own
             for word, tail in users:
                 known[word] = own + tail
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null text has none."""
-        if len(self.cache) > self.limit:
-            self.cache = {"": b""}
-        for text in texts:
-            if not text:
-                yield b""
-                continue
-            words = text.replace("\n", " ").split(" ")
-            cache = self.cache
-            try:
-                yield b"".join([cache[w] for w in words])
-            except KeyError:
-                self._learn({w for w in words if w not in cache})
-                yield b"".join([cache[w] for w in words])
+        if len(self.cache) > self.limit:  # words met early are the frequent ones
+            self.cache = dict(islice(self.cache.items(), self.limit // 2))
+        words = [(text or "").replace("\n", " ").split(" ") for text in texts]
+        found: set[str] = set()
+        for own in words:
+            found.update(own)
+        if new := found - self.cache.keys():
+            self._learn(new)
+        ids = self.cache
+        for own in words:
+            yield b"".join([ids[w] for w in own])
+
+
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, kept from task to task with its cache."""
+    import sys
+    import types
+
+    state = sys.modules.setdefault("textloom_worker_state", types.ModuleType("textloom_worker_state"))
+    if getattr(state, "path", None) != path:
+        state.path, state.encoder = path, WordEncoder(path)
+    return state.encoder
 
 
 def encoded_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -108,12 +115,12 @@ def encoded_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: in
     A document is its ids and then ``end``; only documents over ``capacity`` are cut.
     Null and empty texts are the single id ``end``. Other columns are not carried.
     """
-    common.arrow_rows(docs.sparkSession)
+    common.arrow_rows(docs.sparkSession, 256)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = worker_encoder(path)
         close = np.asarray([end], "<u4").tobytes()
         for batch in batches:
             keys, part, start, length, crc, ids = [], [], [], [], [], []
