@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import licenses, lines, mixing, packing, quality_rules, simhash
+from textloom.llm import licenses, lines, mixing, packing, quality_rules, simhash, vectors, warc
 from textloom.llm.common import table
 
 
@@ -36,7 +36,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_simhash, op4_license_scan, op6_quality_rules, op7_line_dedup)}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_simhash, op4_license_scan, op6_quality_rules, op7_line_dedup, op8_warc, op9_vector_near_dedup)}
 
 #: Line dedup in DuckDB: the same keys, the smallest doc_id of each, the lines that stay.
 OP7_SQL = r"""
