@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import licenses, lines, mixing, packing, quality_rules, simhash, vectors, warc
+from textloom.llm import classifier, licenses, lines, mixing, packing, quality_rules, simhash, substrings, vectors, warc
 from textloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,13 @@ def op9_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_simhash, op4_license_scan, op6_quality_rules, op7_line_dedup, op8_warc, op9_vector_near_dedup)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per passage to remove, in its document's own offsets, with the document that keeps it."""
+    spans = substrings.repeated_spans(table(spark, sf_dir, "documents"))
+    return spans.select(F.col("rank").alias("doc_id"), "begin", "end", "n_units", "n_words", F.col("kept_rank").alias("kept_doc_id"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_simhash, op4_license_scan, op5_quality_classifier, op6_quality_rules, op7_line_dedup, op8_warc, op9_vector_near_dedup, op10_substring_dedup)}
 
 #: Line dedup in DuckDB: the same keys, the smallest doc_id of each, the lines that stay.
 OP7_SQL = r"""
