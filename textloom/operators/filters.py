@@ -69,9 +69,10 @@ def is_unspecific_word_any_case(name: Column) -> Column:
 def is_unspecific_abbreviation(name: Column, sentence: Column, fly: Column | None = None) -> Column:
     """One or two characters without gene, protein or locus beside them."""
     n = escape_name(name)
+    short = F.length(name) <= 2
     near = contains_pattern(sentence, r"[\s(]", n, r"[\s,)](?:[^\s]+\s)?(?:gene|protein|locus|loci)s?")
     near = near | contains_pattern(sentence, r"(?:gene|protein|locus\sfor|loci\sfor)s?[\s,)](?:[^\s]+\s)?[(\s]?", n, r"[\s,)]")
-    return (F.length(name) <= 2) & ~(fly if fly is not None else F.lit(False)) & ~near
+    return short & ~(fly if fly is not None else F.lit(False)) & ~(sentence.rlike("gene|protein|loc[ui]") & near)
 
 
 def is_amino_acid(name: Column) -> Column:
@@ -97,7 +98,8 @@ def is_tissue(name: Column) -> Column:
 
 def is_cell_line(name: Column, sentence: Column) -> Column:
     n = escape_name(name)
-    return (
+    # a fixed pattern first: patterns made of the name are compiled for each row
+    return sentence.rlike("cell|culture|-MB") & (
         contains_pattern(sentence, _LEFT, n, _RIGHT + "(?:cell|culture)s?")
         | (whole(name, r"CD\d+") & contains_pattern(sentence, _LEFT, n, _RIGHT + r"(?:[A-Za-z\-]+ )?cells?"))
         | (F.startswith(name, F.lit("MDA")) & contains_pattern(sentence, n, "-MB"))
@@ -121,8 +123,8 @@ def is_negative_pair(name: Column, sentence: Column) -> Column:
         ((name == "LPS") & sentence.rlike("induce|administ|stimulat"))
         | ((name == "GST") & sentence.rlike(r"pull-?down|assay|fusion|purification|\Wtag\W|blotting|anti-?body"))
         | ((F.lower(name) == "polymerase") & sentence.rlike(r"chain[-\s]?reaction|PCR|Pcr"))
-        | contains_pattern(sentence, n, " (?:patient|disease|symptom|syndrome?)s?")
-        | contains_pattern(sentence, r"(?:disease|symptom|syndrome?|cancer|[a-z]+oma|[a-z]+itis) \(", n, r"\)")
+        | (sentence.rlike(" (?:patient|disease|symptom|syndrom)") & contains_pattern(sentence, n, " (?:patient|disease|symptom|syndrome?)s?"))
+        | (sentence.rlike(r"(?:disease|symptom|syndrome?|cancer|oma|itis) \(") & contains_pattern(sentence, r"(?:disease|symptom|syndrome?|cancer|[a-z]+oma|[a-z]+itis) \(", n, r"\)"))
     )
 
 
@@ -135,7 +137,7 @@ def has_plural(name: Column, text: Column) -> Column:
 
 
 def is_family(name: Column, sentence: Column) -> Column:
-    return contains_pattern(sentence, escape_name(name), r"(?:[\-/][A-Za-z0-9]*[A-Z0-9][A-Za-z0-9]*)?(?: [a-z]+)? (?:gene|protein) family(?:[.,;:]| [a-z]+ [a-z]+[\s,.:;])")
+    return sentence.rlike("(?:gene|protein) family") & contains_pattern(sentence, escape_name(name), r"(?:[\-/][A-Za-z0-9]*[A-Z0-9][A-Za-z0-9]*)?(?: [a-z]+)? (?:gene|protein) family(?:[.,;:]| [a-z]+ [a-z]+[\s,.:;])")
 
 
 def unspecific_reason(name: Column, sentence: Column, text: Column, fly: Column) -> Column:
@@ -198,7 +200,8 @@ def immediate_context(mentions: DataFrame) -> DataFrame:
     line = F.max(is_cell_line(n, s)).over(Window.partitionBy("text_id", "name"))
     general = (
         is_unspecific(n) | is_unspecific_word_any_case(n) | is_unspecific_word(n) | is_tissue(n) | is_unspecific_abbreviation(n, s)
-        | is_species_word(n) | is_amino_acid(n) | is_disease(n) | contains_pattern(s, escape_name(n), r" homology(?:\s.{0,7})? domain")
+        | is_species_word(n) | is_amino_acid(n) | is_disease(n)
+        | (s.rlike(r" homology(?:\s.{0,7})? domain") & contains_pattern(s, escape_name(n), r" homology(?:\s.{0,7})? domain"))
     )
     return mentions.withColumn("__line", line).where(~F.coalesce("__line", F.lit(False)) & ~general).drop("__line")
 
