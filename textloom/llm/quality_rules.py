@@ -139,16 +139,17 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
     out; an empty table gives no rows. Texts are read twice: for the languages' common words,
     and for everything else.
     """
-    reference = F.broadcast(common.materialise(reference_words(docs, text_col, lang_col), "reference-words"))  # at most MAX_LANGUAGES + 1 short rows
+    reference = common.materialise(reference_words(docs, text_col, lang_col), "reference-words")  # at most MAX_LANGUAGES + 1 short rows
+    shared = reference.where(F.col("lang").isNull()).select(F.explode("common")).collect()  # at most COMMON_WORDS words
+    pooled = F.array(*[F.lit(r[0]) for r in shared]).cast("array<string>")
     counts = base_counts(docs, text_col, lang_col)
-    known = reference.where(F.col("lang").isNotNull()).withColumnsRenamed({"lang": "ref_lang", "common": "own"})
-    pooled = reference.where(F.col("lang").isNull()).select(F.col("common").alias("pooled"))
-    paired = counts.join(known, F.col("lang") == F.col("ref_lang"), "left").join(pooled, F.lit(True), "left")
+    known = F.broadcast(reference).where(F.col("lang").isNotNull()).withColumnsRenamed({"lang": "ref_lang", "common": "own"})
+    paired = counts.join(known, F.col("lang") == F.col("ref_lang"), "left")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
     # words of at most COMMON_LENGTH code points, then one native pass a common word
     short = F.filter("words", lambda w: F.length(w) <= COMMON_LENGTH)
     lower_short = F.transform(short, lambda w: F.translate(w, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    occurrences = bind(F.struct(lower_short.alias("w"), F.coalesce("own", "pooled").alias("ref")), lambda v: F.transform(v["ref"], lambda r: (F.size(v["w"]) - F.size(F.array_remove(v["w"], r))).cast("double")))
+    occurrences = bind(F.struct(lower_short.alias("w"), F.coalesce(F.col("own"), pooled).alias("ref")), lambda v: F.transform(v["ref"], lambda r: (F.size(v["w"]) - F.size(F.array_remove(v["w"], r))).cast("double")))
     classes = F.array(*[F.greatest(c, F.lit(0)).cast("double") for c in (F.col("n_lower"), F.col("n_upper"), F.col("n_digit"), F.col("n_mark"), F.col("n_symbols"), F.col("n_beyond"), F.col("n_rest") - F.col("n_upper") - F.col("n_digit") - F.col("n_mark") - F.col("n_symbols") - F.col("n_beyond"))])
     features = paired.withColumn("n_lower", F.col("word_chars") - F.col("n_rest")).select("doc_id", F.col("ref_lang"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", classes.alias("classes"), occurrences.alias("hits"))
     features = common.materialise(features, "features")
