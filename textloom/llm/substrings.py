@@ -14,7 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import common
@@ -96,13 +96,12 @@ def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = MIN
     rows = units(docs, unit, text_col, rank_col)
     first = rows.groupBy("h1", "h2").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.max(F.col("rank").isNull()).alias("nulls"), F.max("again").alias("inside"))
     shared = first.where((F.col("low") < F.col("high")) | (F.col("nulls") & F.col("low").isNotNull()) | F.col("inside"))
-    shared = shared.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "low")
+    # a table of its own: the join is then free to split a digest of very many places over tasks
+    shared = common.materialise(shared.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "low"), "shared-units")
     hit = rows.join(shared, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
     hit = hit.where(F.col("again") | (F.col("low") < F.col("rank")) | (F.col("rank").isNull() & F.col("low").isNotNull()))
     # whole repeated rows give the same units twice
     own = hit.select("rank", "row", "pos", "begin", "end", "words", "low").repartition("rank", "row").dropDuplicates(["rank", "row", "pos"])
-    from pyspark.sql import Window
-
     island = F.col("pos") - F.row_number().over(Window.partitionBy("rank", "row").orderBy("pos"))
     runs = own.withColumn("island", island).groupBy("rank", "row", "island")
     runs = runs.agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_units"), F.sum("words").alias("n_words"), F.min("low").alias("kept_rank"))
