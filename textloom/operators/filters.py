@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from textloom.functions import alignment
 from textloom.functions.text import context_tokens, escape_name, sentence_around
@@ -206,7 +207,7 @@ def immediate_context(mentions: DataFrame) -> DataFrame:
     return mentions.withColumn("__line", line).where(~F.coalesce("__line", F.lit(False)) & ~general).drop("__line")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def long_form(short: pd.Series, text: pd.Series, bracket: pd.Series) -> pd.Series:
     return pd.Series([alignment.best_long_form(s, t, None if b is None or b != b else int(b)) for s, t, b in zip(short, text, bracket, strict=True)], dtype=object)
 
@@ -252,7 +253,7 @@ def strict_false_positives(mentions: DataFrame, counts: DataFrame) -> DataFrame:
 
 def position_contexts(mentions: DataFrame, k: int = 2, words: Iterable[str] = ()) -> DataFrame:
     """keys -> (position 0 left, 1 name, 2 right; token), from the sentence around each mention."""
-    at = F.locate(F.col("name"), F.col("sentence"))
+    at = F.position(F.col("name"), F.col("sentence"))
     left = F.array_remove(F.split(F.lower(F.substr("sentence", F.lit(1), F.greatest(at - 1, F.lit(0)))), r"[^a-z0-9]+"), "")
     right = F.array_remove(F.split(F.lower(F.substr("sentence", at + F.length("name"))), r"[^a-z0-9]+"), "")
     tagged = lambda p, arr: F.transform(arr, lambda t: F.struct(F.lit(p).alias("position"), t.alias("token")))
@@ -296,7 +297,7 @@ def tf_idf(mentions: DataFrame, threshold: float, other: DataFrame | None = None
     return mentions.join(weak, (F.col("text_id") == F.col("w_text")) & (F.col("name") == F.col("w_name")), "left_anti")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def match_score(name: pd.Series, synonym: pd.Series) -> pd.Series:
     return pd.Series([alignment.match_score(a, b) for a, b in zip(name, synonym, strict=True)], dtype="float64")
 
@@ -356,7 +357,7 @@ def species_frequency(candidates: DataFrame, counts: DataFrame) -> DataFrame:
 
 def species_before(sentence: Column, name: Column, others: Column) -> Column:
     """Taxa of the species word directly before a name, over other names, commas, "and" and "or"."""
-    left = F.substr(sentence, F.lit(1), F.greatest(F.locate(name, sentence) - 1, F.lit(0)))
+    left = F.substr(sentence, F.lit(1), F.greatest(F.position(name, sentence) - 1, F.lit(0)))
     bare = F.aggregate(others, left, lambda s, o: F.replace(s, o, F.lit(" ")))
     bare = F.regexp_replace(bare, r"(?:[\s,]+|\b(?:and|or)\b)+$", "")
     hits = [F.when(bare.rlike(rf"(?<!\w)(?:{p})$"), F.array(*[F.lit(t) for t in taxa])).otherwise(F.array().cast("array<int>")) for taxa, p in PATTERNS.values()]

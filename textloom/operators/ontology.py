@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from textloom.functions.alignment import greedy_similarity
 
@@ -83,7 +84,7 @@ def term_distance(pairs: DataFrame, closure: DataFrame, lca: DataFrame) -> DataF
     return rows.select(*pairs.columns, distance.alias("distance"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _greedy(pairs: pd.Series) -> pd.Series:
     return pd.Series([greedy_similarity([(p["a"], p["b"], float("inf") if p["d"] is None or p["d"] != p["d"] else p["d"]) for p in own]) for own in pairs], dtype="float64")
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textloom.functions.ranges import expand_ranges
 from textloom.operators import filters, match, species
@@ -49,7 +50,7 @@ def run(state: State, steps: list[Step]) -> State:
 
 
 def expand_names(s: State) -> State:
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def expand(texts: pd.Series) -> pd.Series:
         return texts.map(expand_ranges)
 

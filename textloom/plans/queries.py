@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textloom.functions import measures, text
 from textloom.operators import evaluate, filters, match, ontology, score, species, tagger
@@ -164,7 +165,7 @@ def dense_index(spark, sf_dir):
 def range_expansion(spark, sf_dir):
     from textloom.functions.ranges import expand_ranges
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def expand(texts: pd.Series) -> pd.Series:
         return texts.map(expand_ranges)
 
@@ -175,7 +176,7 @@ def range_expansion(spark, sf_dir):
 def porter_stems(spark, sf_dir):
     from textloom.functions.porter import porter_stem
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def stem(words: pd.Series) -> pd.Series:
         return words.map(porter_stem)
 

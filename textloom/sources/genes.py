@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textloom.operators.ontology import import_closure
 from textloom.schema import ATTRIBUTE_TABLES, GENE_TSV
@@ -21,7 +22,7 @@ def tsv(spark: SparkSession, path: str, columns: list[str] | None = None, commen
 
 def split_list(value: Column, by: str = "; ") -> Column:
     """A list cell as an array; "-" and empty cells are empty lists."""
-    return F.when(value.isNull() | value.isin("-", ""), F.array().cast("array<string>")).otherwise(F.array_remove(F.transform(F.split(value, by), F.trim), ""))
+    return F.when(value.isNull() | value.isin("-", ""), F.array().cast("array<string>")).otherwise(F.array_remove(F.transform(F.split(value, by), lambda x: F.trim(x)), ""))
 
 
 def genes_from_tsv(rows: DataFrame) -> DataFrame:
@@ -152,7 +153,7 @@ def name_patterns(dictionary: DataFrame) -> DataFrame:
     """(name, ids) -> regex, ids: patterns of the names' variants; ids of equal patterns are united."""
     from textloom.functions.name_patterns import name_pattern
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def pattern(names: pd.Series) -> pd.Series:
         return names.map(name_pattern)
 

@@ -28,7 +28,7 @@ def _texts(df: DataFrame, **columns: Column) -> DataFrame:
 
 def plain_files(spark: SparkSession, path: str) -> DataFrame:
     """One text a file: lines joined by a space, id and PMID from the name, title from the first line."""
-    files = spark.read.option("wholetext", True).text(path).select("value", _file_name().alias("file"))
+    files = spark.read.text(path, wholetext=True).select("value", _file_name().alias("file"))
     lines = F.split(F.trim(F.col("value")), r"\R+")
     name = F.regexp_replace("file", r"\.[^.]*$", "")
     return _texts(files, text_id=name, id_type=F.lit("FILE"), source_type=F.lit("PLAIN"), title=F.get(lines, F.lit(0)), plain=F.array_join(lines, " "), pmid=_pmid(name))
@@ -36,7 +36,7 @@ def plain_files(spark: SparkSession, path: str) -> DataFrame:
 
 def xml_files_stripped(spark: SparkSession, path: str) -> DataFrame:
     """Any XML file as one text, tags stripped line by line."""
-    files = spark.read.option("wholetext", True).text(path).select("value", _file_name().alias("file"))
+    files = spark.read.text(path, wholetext=True).select("value", _file_name().alias("file"))
     lines = F.filter(F.transform(F.split("value", r"\R+"), lambda x: F.trim(F.regexp_replace(strip_tag_pairs(F.trim(x)), "<[^>]*>", ""))), lambda x: x != "")
     name = F.regexp_replace("file", r"\.[^.]*$", "")
     return _texts(files, text_id=name, id_type=F.lit("FILE"), source_type=F.lit("XML"), title=F.get(lines, F.lit(0)), plain=F.array_join(lines, " "), xml=F.col("value"), pmid=_pmid(name))
@@ -58,7 +58,7 @@ def _without_prolog(value: Column) -> Column:
 
 def medline_files(spark: SparkSession, path: str) -> DataFrame:
     """One citation record a file."""
-    files = spark.read.option("wholetext", True).text(path).select(F.trim(_without_prolog(F.col("value"))).alias("x"))
+    files = spark.read.text(path, wholetext=True).select(F.trim(_without_prolog(F.col("value"))).alias("x"))
     return _record_texts(files, F.col("x"))
 
 
