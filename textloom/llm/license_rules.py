@@ -143,7 +143,7 @@ def build_rules() -> list[tuple[str, int, str, str]]:
     for label, keyword, name, versions in FAMILIES:
         rules += [(f"{label}-{v.replace(' ', '.')}", 0, keyword, f"{name}{_V}{v}") for v in versions]
         rules.append((label, 1, keyword, name))
-        rules += [(f"{label}-or-later", 0, keyword, f"{name}{_V}{v} or (?:any |at your option any )?later(?: version)?") for v in versions if label in ("gpl", "lgpl", "agpl")]
+        rules += [(f"{label}-{v.replace(' ', '.')}-or-later", 0, keyword, f"{name}{_V}{v} or (?:any |at your option any )?later(?: version)?") for v in versions if label in ("gpl", "lgpl", "agpl")]
     for short, long in CC_PARTS:
         label = "cc-" + short.replace(" ", "-")
         rules += [(f"{label}-{v.replace(' ', '.')}", 0, "cc", f"cc {short} {v}") for v in CC_VERSIONS]

@@ -122,7 +122,8 @@ def distance(p: Column, q: Column) -> Column:
 
     part = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
     terms = F.zip_with(shares(p), shares(q), lambda a, b: (part(a, (a + b) / 2) + part(b, (a + b) / 2)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
+    total = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+    return F.when(total.isNotNull(), F.sqrt(F.greatest(total, F.lit(0.0))))
 
 
 def padded(histogram: str, n: int) -> Column:
