@@ -277,6 +277,16 @@ def position_log_probabilities(contexts: DataFrame, model: DataFrame) -> DataFra
     return scored.groupBy("text_id", "begin", "end", "name").agg(total("fp"), total("tp"))
 
 
+def sequence_probabilities(contexts: DataFrame, model: DataFrame, label: str) -> DataFrame:
+    """text_id, begin, end, name, joint, best: the product and the largest of a context's token probabilities under one model."""
+    own = model.where(F.col("label") == label)
+    totals = own.groupBy("position").agg(F.sum("freq").alias("total"))
+    known = own.select(F.col("position").alias("m_position"), F.col("token").alias("m_token"), "freq")
+    rows = contexts.join(totals, "position").join(known, (F.col("position") == F.col("m_position")) & (F.col("token") == F.col("m_token")), "left")
+    p = F.coalesce("freq", F.lit(1)) / F.col("total")
+    return rows.groupBy("text_id", "begin", "end", "name").agg(F.exp(F.sum(F.ln(p))).alias("joint"), F.max(p).alias("best"))
+
+
 def left_right_context(mentions: DataFrame, model: DataFrame, k: int = 2, words: Iterable[str] = ()) -> DataFrame:
     """Without mentions that their neighbours make likelier false than true, by naive Bayes over positions."""
     scores = position_log_probabilities(position_contexts(mentions, k, words), model).where("fp > tp").select("text_id", "begin", "end", "name")

@@ -781,3 +781,205 @@ def event_windows(spark, sf_dir):
 ORACLES["stream_matches"] = f"""WITH {MATCHES},
 {leftmost("matches", "text_id, taxon")}
 SELECT text_id, b AS begin_at, e AS end_at, name, {_IDS} AS ids, taxon FROM kept"""
+
+
+# ---- more of the same: formats, look-ups and small rules
+
+
+@query(f"""WITH {_IDENTIFIED}, i AS (SELECT text_id, b, e, name, min(gene_id) AS gene_id, min(taxon) AS taxon FROM ident GROUP BY 1, 2, 3, 4)
+SELECT m.text_id, m.b AS begin_at, m.name, coalesce(i.gene_id, 'N/A') AS gene_id, 'N/A' AS symbol, coalesce(i.taxon::VARCHAR, 'N/A') AS taxon, array_to_string(m.ids, ';') AS candidates
+FROM matches m LEFT JOIN i USING (text_id, b, e, name) WHERE m.text_id IN (SELECT text_id FROM ident)""")
+def mention_rows(spark, sf_dir):
+    i = identified(spark, sf_dir).groupBy("text_id", "begin", "end", "name").agg(F.min("gene_id").alias("gene_id"), F.min("taxon").alias("taxon"))
+    m = found(spark, sf_dir).drop("taxon").join(i, ["text_id", "begin", "end", "name"], "left").withColumns({"symbol": F.lit(None).cast("string"), "score": F.lit(None).cast("float")})
+    return sinks.mention_rows(m, only_with_genes=True).select("text_id", F.col("begin").alias("begin_at"), "name", "gene_id", "symbol", "taxon", "candidates")
+
+
+@query(f"""WITH {_IDENTIFIED}, r AS (SELECT 'R' AS kind, text_id, b, e, name, array_to_string(ids, ';') AS ids FROM matches UNION ALL SELECT 'I', text_id, b, e, name, gene_id FROM ident
+UNION ALL SELECT 'U', text_id, b, e, name, array_to_string(ids, ';') FROM matches m WHERE NOT EXISTS (SELECT 1 FROM ident i WHERE (i.text_id, i.b, i.e, i.name) = (m.text_id, m.b, m.e, m.name)))
+SELECT kind, text_id, b AS begin_at, name, ids FROM r""")
+def status_dump(spark, sf_dir):
+    return sinks.status_rows(found(spark, sf_dir), identified(spark, sf_dir)).select("kind", "text_id", F.col("begin").alias("begin_at"), "name", "ids")
+
+
+@query(f"WITH {_IDENTIFIED} SELECT text_id, gene_id, name, round(1.0, 1)::DOUBLE AS score, b AS begin_at, e AS end_at, taxon FROM ident")
+def result_rows(spark, sf_dir):
+    return sinks.result_rows(identified(spark, sf_dir)).withColumn("score", F.col("score").cast("double")).withColumnsRenamed({"begin": "begin_at", "end": "end_at"})
+
+
+@query(f"WITH {_CLOSURE} SELECT child AS code, min(distance) AS depth FROM cl WHERE parent = 0 GROUP BY 1")
+def minimal_depth(spark, sf_dir):
+    return ontology.minimal_depth(closure_of(spark, sf_dir))
+
+
+@query(f"WITH {_CLOSURE} SELECT DISTINCT child AS code, parent FROM cl WHERE distance = 1")
+def parents_at_distance(spark, sf_dir):
+    return ontology.parents_of(closure_of(spark, sf_dir), 1)
+
+
+@query("SELECT n_nationkey, 'GO:' || lpad(n_nationkey::VARCHAR, 7, '0') AS accession, n_nationkey::INT AS code FROM nation")
+def code_forms(spark, sf_dir):
+    n = t(spark, sf_dir, "nation").withColumn("accession", ontology.accession_of(F.col("n_nationkey")))
+    return n.select("n_nationkey", "accession", ontology.code_of(F.col("accession")).alias("code"))
+
+
+@query("""WITH p AS (SELECT 'all' AS parent, 'GO:' || lpad(r_regionkey::VARCHAR, 7, '0') AS child, 1 AS distance FROM region UNION ALL SELECT 'obsolete_x', 'GO:0000001', 1)
+SELECT 0 AS parent, right(child, 7)::INT AS child, distance FROM p WHERE parent NOT LIKE 'obsolete%'""")
+def closure_import(spark, sf_dir):
+    r = t(spark, sf_dir, "region").select(F.lit("all").alias("parent"), ontology.accession_of(F.col("r_regionkey")).alias("child"), F.lit(1).alias("distance"))
+    return ontology.import_closure(r.unionByName(values(spark, "('obsolete_x', 'GO:0000001', 1)", "parent, child, distance")))
+
+
+@query(r"""WITH c AS (SELECT unnest(string_split_regex(p_brand || '; ' || p_partkey::VARCHAR || '|' || p_size::VARCHAR, '[;,|\s]+')) AS pmid, p_type AS code FROM part)
+SELECT pmid, string_agg(DISTINCT code, ';' ORDER BY code) AS codes FROM c GROUP BY 1""")
+def article_codes(spark, sf_dir):
+    rows = t(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("; "), F.col("p_partkey").cast("string"), F.lit("|"), F.col("p_size").cast("string")).alias("pmids"), F.col("p_type").alias("code"))
+    return gene_sources.pmid_to_codes(rows).select("pmid", joined_ids("codes").alias("codes"))
+
+
+@query("""WITH l AS (SELECT p_partkey AS k, p_brand AS code FROM part) SELECT s_suppkey AS text_id, coalesce(string_agg(DISTINCT code, ';' ORDER BY code), '') AS codes FROM supplier LEFT JOIN l ON k = s_suppkey % 7 GROUP BY 1""")
+def codes_of_texts(spark, sf_dir):
+    texts = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("text_id"), (F.col("s_suppkey") % 7).alias("pmid"))
+    listed = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("pmid"), F.col("p_brand").alias("code"))
+    return match.codes_by_article(texts, listed).select("text_id", joined_ids("codes").alias("codes"))
+
+
+@query("""WITH r AS (SELECT DISTINCT lower(p_type) AS name, p_brand AS gene_id FROM part WHERE lower(p_type) <> 'promo')
+SELECT gene_id, string_agg(DISTINCT name, ';' ORDER BY name) AS names FROM r GROUP BY 1""")
+def lexicon_by_gene(spark, sf_dir):
+    pairs = t(spark, sf_dir, "part").select(F.col("p_type").alias("name"), F.col("p_brand").alias("gene_id"))
+    lex = gene_sources.lexicon(pairs, values(spark, "('promo'), ('x')", "name"), lower=True)
+    return gene_sources.invert_lexicon(lex).select("gene_id", joined_ids("names").alias("names"))
+
+
+@query("SELECT DISTINCT p_brand AS gene_id FROM part WHERE p_size IN (1, 2)")
+def genes_of_species(spark, sf_dir):
+    return gene_sources.genes_of(t(spark, sf_dir, "part").select(F.col("p_brand").alias("gene_id"), F.col("p_size").alias("taxon")), [1, 2])
+
+
+@query("SELECT DISTINCT p_brand AS gene_id, 9606 AS taxon, p_brand AS symbol FROM part")
+def dummy_genes(spark, sf_dir):
+    return gene_sources.dummy_genes(t(spark, sf_dir, "part").select(F.col("p_brand").alias("gene_id")).distinct()).select("gene_id", "taxon", "symbol")
+
+
+@query("""WITH m AS (SELECT p_brand AS old, min(p_type) AS new FROM part WHERE p_size < 5 GROUP BY 1) SELECT p_partkey, coalesce(m.new, p_brand) AS gene_id FROM part LEFT JOIN m ON m.old = p_brand""")
+def identifier_mapping(spark, sf_dir):
+    p = t(spark, sf_dir, "part")
+    m = p.where("p_size < 5").select(F.col("p_brand").alias("old"), F.col("p_type").alias("new"))
+    return gene_sources.identifier_mapping(p.select("p_partkey", F.col("p_brand").alias("gene_id")), m)
+
+
+@query("SELECT p_brand AS gene_id, arg_min(p_name, p_partkey) AS symbol FROM part GROUP BY 1")
+def first_gene_wins(spark, sf_dir):
+    p = t(spark, sf_dir, "part").select(F.col("p_brand").alias("gene_id"), F.col("p_name").alias("symbol"), "p_partkey")
+    return gene_sources.first_wins(p, "p_partkey").select("gene_id", "symbol")
+
+
+@query("SELECT source AS text_id, arg_max(md5(text), doc_id) AS plain_md5 FROM documents GROUP BY 1")
+def last_text_wins(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select(F.col("source").alias("text_id"), F.md5(F.col("text").cast("binary")).alias("plain_md5"), "doc_id")
+    return text_sources.last_wins(d, "doc_id").select("text_id", "plain_md5")
+
+
+@query("SELECT doc_id::VARCHAR AS text_id, length(text) AS n_chars FROM documents")
+def texts_of_rows(spark, sf_dir):
+    return text_sources.from_rows(t(spark, sf_dir, "documents"), "doc_id", "text").select("text_id", F.length("plain").cast("long").alias("n_chars"))
+
+
+@query("SELECT o_custkey AS text_id, o_orderpriority AS gene_id, arg_min(o_totalprice, o_orderkey) AS score FROM orders GROUP BY 1, 2")
+def first_confidence(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("text_id"), F.col("o_orderpriority").alias("gene_id"), F.col("o_totalprice").alias("score"), F.col("o_orderkey").alias("seq"))
+    return score.first_confidence(o)
+
+
+@query("SELECT p_type AS name, round(avg(p_retailprice), 4) AS score FROM part GROUP BY 1")
+def average_by_name(spark, sf_dir):
+    return score.average_by_name(t(spark, sf_dir, "part").select(F.col("p_type").alias("name"), F.col("p_retailprice").alias("score"))).select("name", F.round("score", 4).alias("score"))
+
+
+@query("""WITH c AS (SELECT p_partkey, p_size AS position, string_split(p_name, ' ')[1] AS token FROM part), m AS (SELECT position, token, count(*) + 1 AS freq FROM c WHERE p_partkey % 2 = 0 GROUP BY 1, 2), tt AS (SELECT position, sum(freq) AS total FROM m GROUP BY 1)
+SELECT p_partkey AS text_id, round(exp(sum(ln(coalesce(freq, 1) / total))), 6) AS joint, round(max(coalesce(freq, 1) / total), 6) AS best FROM c JOIN tt USING (position) LEFT JOIN m USING (position, token) GROUP BY 1""")
+def sequence_probabilities(spark, sf_dir):
+    c = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("text_id"), F.lit(0).alias("begin"), F.lit(0).alias("end"), F.lit("").alias("name"), F.col("p_size").alias("position"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("token"))
+    model = filters.train_positions(c.where("text_id % 2 = 0").withColumn("label", F.lit("tp")))
+    return filters.sequence_probabilities(c, model, "tp").select("text_id", F.round("joint", 6).alias("joint"), F.round("best", 6).alias("best"))
+
+
+@query("""WITH v AS (SELECT p_partkey AS pair_id, p_size::DOUBLE AS x, length(p_name)::DOUBLE AS y, length(p_type)::DOUBLE AS z FROM part)
+SELECT pair_id, round((2 * (x * z + y * x) / (sqrt(x * x + y * y) * sqrt(z * z + x * x)) + 3 * 1.0) / 5, 6) AS similarity FROM v""")
+def model_similarity(spark, sf_dir):
+    p = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair_id"), F.col("p_size").cast("double").alias("x"), F.length("p_name").cast("double").alias("y"), F.length("p_type").cast("double").alias("z"))
+    vec = lambda a, b: F.create_map(F.lit("a"), F.col(a), F.lit("b"), F.col(b))
+    rows = lambda term, code, w: p.select("pair_id", F.explode(F.array(F.struct(F.lit("TERM").alias("ctx_type"), term.alias("vector"), F.lit(w).alias("weight")), F.struct(F.lit("CODE").alias("ctx_type"), code.alias("vector"), F.lit(1.0).alias("weight")))).alias("v")).select("pair_id", "v.*")
+    a = rows(vec("x", "y"), vec("z", "z"), 2.0).withColumn("weight", F.when(F.col("ctx_type") == "CODE", 3.0).otherwise(F.col("weight")))
+    return score.model_similarity(a, rows(vec("z", "x"), vec("y", "y"), 1.0)).select("pair_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(r"""WITH k AS (SELECT item_id, unnest(string_split(text, ' ')) AS token, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM benchmark)
+SELECT item_id AS sent_id, pos::INT AS pos, CASE WHEN pos NOT BETWEEN 2 AND 4 THEN 'O' WHEN pos = 2 THEN 'B' WHEN pos = 4 THEN 'E' ELSE 'I' END AS tag FROM k""")
+def mentions_to_tags(spark, sf_dir):
+    b = t(spark, sf_dir, "benchmark")
+    k = b.select(F.col("item_id").alias("sent_id"), F.posexplode(F.split("text", " ")).alias("pos", "token"))
+    return tagger.mentions_to_tags(k, b.select(F.col("item_id").alias("sent_id"), F.lit(2).alias("start"), F.lit(5).alias("end")), "IOBEW").select("sent_id", "pos", "tag")
+
+
+@query("SELECT p_partkey, string_split(p_name, ' ')[1] AS token, p_brand AS tag FROM part")
+def piped_format(spark, sf_dir):
+    line = F.concat_ws("|", F.split_part("p_name", F.lit(" "), F.lit(1)), F.col("p_brand"))
+    p = t(spark, sf_dir, "part").select("p_partkey", F.explode(tagger.read_piped(line)).alias("x"))
+    return p.select("p_partkey", "x.token", "x.tag")
+
+
+@query("""SELECT vec_id, round(1 / (1 + exp(-embedding[1]::DOUBLE)), 6) AS sigmoid, round(tanh(embedding[1]::DOUBLE), 6) AS tanh, round(log2(abs(embedding[1]::DOUBLE) + 1), 6) AS log2, round(log10(abs(embedding[1]::DOUBLE) + 1), 6) AS log10 FROM embeddings""")
+def number_functions(spark, sf_dir):
+    x = F.get("embedding", F.lit(0)).cast("double")
+    fns = {"sigmoid": measures.sigmoid(x), "tanh": F.tanh(x), "log2": measures.log_base(F.abs(x) + 1, 2), "log10": measures.log_base(F.abs(x) + 1, 10)}
+    return t(spark, sf_dir, "embeddings").select("vec_id", *[F.round(c, 6).alias(n) for n, c in fns.items()])
+
+
+@query(r"""WITH s AS (SELECT doc_id, string_split_regex(regexp_replace(text, '[\r\n]+', ' ', 'g'), '[.!?:;]\s+') AS s FROM documents)
+SELECT doc_id, len(s[greatest(8 - 5, 0) + 1:greatest(8 - 5, 0) + 11])::INT AS n, array_to_string(s[4:14], '|') AS around FROM s WHERE len(s) > 8""")
+def surrounding_sentences(spark, sf_dir):
+    s = t(spark, sf_dir, "documents").select("doc_id", text.naive_sentences(F.col("text")).alias("s")).where(F.size("s") > 8)
+    near = text.surrounding_sentences(F.col("s"), F.lit(8), 5)
+    return s.select("doc_id", F.size(near).alias("n"), F.array_join(near, "|").alias("around"))
+
+
+@query("""SELECT c_custkey, '<customer name="' || replace(c_name, '&', '&amp;') || '" segment="' || c_mktsegment || '"/>' AS line FROM customer""")
+def service_xml(spark, sf_dir):
+    c = t(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return c.select("c_custkey", sinks.service_xml(["name", "segment"], "customer").alias("line"))
+
+
+@query("""SELECT p_partkey::VARCHAR AS gene_id, concat_ws(chr(9), p_partkey::VARCHAR, p_size::VARCHAR, p_brand, array_to_string(string_split(p_name, ' '), '; '), '-', p_type, '-', '-', '-', '-', '-', '-', '-', '-', '-', '-', '-', array_to_string(string_split(p_name, ' '), ';'), '-') AS line FROM part""")
+def gene_table_lines(spark, sf_dir):
+    none, words = F.array().cast("array<string>"), F.split("p_name", " ")
+    g = t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("gene_id"), F.col("p_size").alias("taxon"), F.col("p_brand").alias("symbol"), words.alias("names"), F.col("p_type").alias("summary"), words.alias("go_codes"), *[none.alias(c) for c in ("chr_loc", "rifs", "pmids", "mass", "length", "mutation", "domain", "subcell", "tissue", "interact", "function", "disease", "keywords")])
+    lines = sinks.gene_line(g)
+    return lines.select(F.split_part("line", F.lit("\t"), F.lit(1)).alias("gene_id"), "line")
+
+
+@query(r"""WITH x AS (SELECT unnest(string_split_regex(p_name || ' | ' || p_type, '\s*[|]\s*')) AS name, p_brand AS id FROM part) SELECT DISTINCT name, id FROM x""")
+def generic_names(spark, sf_dir):
+    rows = t(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" | "), "p_type").alias("name"), F.col("p_brand").alias("id"))
+    return gene_sources.generic_names(rows)
+
+
+@query()
+def pattern_lines(spark, sf_dir):
+    d = gene_sources.clean_names(t(spark, sf_dir, "part").select(F.col("p_type").alias("name"), F.col("p_brand").alias("id")))
+    return sinks.pattern_lines(gene_sources.name_patterns(d))
+
+
+@query()
+def tag_pairs(spark, sf_dir):
+    p = t(spark, sf_dir, "pages")
+    return p.select("page_id", F.md5(text.strip_tag_pairs(F.col("html")).cast("binary")).alias("plain_md5"), F.md5(text.escape_markup(F.col("html")).cast("binary")).alias("escaped_md5"))
+
+
+@query()
+def url_fields(spark, sf_dir):
+    from textloom.streaming.annotate import request_fields
+
+    p = t(spark, sf_dir, "pages").select("page_id", F.parse_url("url", F.lit("QUERY")).alias("q")).where("q is not null")
+    return p.select("page_id", F.array_join(F.array_sort(F.map_keys(request_fields(F.col("q")))), ";").alias("keys"))
