@@ -153,3 +153,19 @@ def test_pipeline_against_its_stages(spark, sf):
 def test_names_cover_the_operators():
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracles(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    rel = con.execute(ORACLES[name])
+    columns = sorted(c[0] for c in rel.description)
+    df = QUERIES[name](spark, sf)
+    assert sorted(df.columns) == columns
+    names = [c[0] for c in rel.description]
+    expected = sorted(str([r[names.index(c)] for c in columns]) for r in rel.fetchall())
+    assert sorted(str([r[c] for c in columns]) for r in df.collect()) == expected

@@ -69,4 +69,29 @@ SELECT doc_id, count(*) AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
 FROM j GROUP BY doc_id
 """
 
-ORACLES = {"op7_line_dedup": OP7_SQL}
+#: The digest's 160 bits in 32 letters of five bits; equal payloads refer to the smallest page_id.
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, body, strlen(body) AS payload_bytes, sha1(body) AS x, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(flatten(list_transform(range(8), lambda k: list_transform([15, 10, 5, 0], lambda s:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, 5 * k + 1, 5))::BIGINT >> s) & 31) + 1)::BIGINT, 1)))), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h
+"""
+
+#: All pairs of a label by cosine, then everything that links reach.
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT *, sqrt(list_dot_product(e, e)) AS size FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.e, b.e) / a.size / b.size >= 0.98),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id),
+m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = m.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM m
+"""
+
+ORACLES = {"op7_line_dedup": OP7_SQL, "op8_warc": OP8_SQL, "op9_vector_near_dedup": OP9_SQL}
