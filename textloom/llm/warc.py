@@ -207,9 +207,11 @@ def captures(pages: DataFrame, path: str | None = None, least: int = 0, payload:
     spark = pages.sparkSession
     path = path or common.new_path(spark, "warc")
     write(pages, path, least)
+    rows_before = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     rows = assemble(read_records(spark, path, payload))
     about = F.from_json(F.col("metadata.block"), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string")
     rows = common.materialise(rows.withColumn("about", about), "captures")
+    common.arrow_rows(spark, rows_before)  # a batch of one row is for whole files alone
     holders = rows.where(F.col("response.type") == "response").select(F.col("response.record_id").alias("holder"), F.col("about.page_id").alias("refers_to")).dropDuplicates(["holder"])
     joined = rows.join(holders, F.col("response.refers_to") == F.col("holder"), "left")
     return joined.select(
