@@ -222,6 +222,37 @@ def test_keep_first_and_empty(edge, empty, spark):
     assert {r["component_id"] for r in simhash.near_duplicates(many).collect()} == {0}
 
 
+def shared_ids(spark):
+    """Different texts that share a doc_id or have none, and copies of them."""
+    own = [" ".join(f"{a}{k}" for k in range(40)) for a in ("ash", "birch", "cedar", "dogwood", "elm")]
+    rows = [(1, own[0]), (2, own[1]), (2, own[0]), (None, own[2]), (None, own[3]), (None, own[3]), (None, own[0]), (3, own[4]), (3, own[4])]
+    return own, make(spark, [(i, t, "en", "a") for i, t in rows])
+
+
+def test_near_dedup_tells_texts_of_one_id_apart(spark):
+    own, docs = shared_ids(spark)
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in simhash.keep_first(docs).collect())
+    assert kept == {(1, own[0]): 1, (2, own[1]): 1, (None, own[2]): 1, (None, own[3]): 1, (3, own[4]): 1}
+
+
+def test_mix_tells_texts_of_one_id_apart(spark):
+    own, docs = shared_ids(spark)
+    docs = docs.dropDuplicates(["doc_id", "text"])
+    planned = collections.Counter()
+    texts = {(r["doc_id"], r["x"]): r["text"] for r in docs.withColumn("x", mixing.row_of("text")).collect()}
+    for r in mixing.mix(docs, budget=0.5).collect():
+        planned[r["doc_id"], texts[r["doc_id"], r["row"]]] += r["taken"] // r["size"]
+    got = collections.Counter((r["doc_id"], r["text"]) for r in mixing.mixed_documents(docs, budget=0.5).collect())
+    assert got == {k: n for k, n in planned.items() if n} and 0 < len(got) < docs.count()
+
+
+def test_quality_tells_texts_of_one_id_apart(spark):
+    own, docs = shared_ids(spark)
+    docs = docs.unionByName(make(spark, [(2, "too short", "en", "a"), (None, None, "en", "a"), (None, "too short", None, "a"), (3, None, None, None)]))
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in quality_rules.keep_good(docs).collect())
+    assert kept == collections.Counter((r["doc_id"], r["text"]) for r in docs.where("length(text) > 50").collect())
+
+
 # ---- licenses
 
 

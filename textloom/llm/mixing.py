@@ -33,6 +33,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(common.WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def row_of(text_col: str) -> Column:
+    """A hash of text and source; the number between them keeps a null's place."""
+    return F.xxhash64(F.col(text_col), F.lit(0), F.col("source"))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
     """(source, source_size) -> with target: the level at which all capped shares meet the budget.
 
@@ -99,13 +104,13 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, seed: int = SEED, text_col: str = "text") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words) for every row of ``docs``.
+    """doc_id, source, size, source_size, target, taken (words), row for every row of ``docs``.
 
     Reruns agree: the choice hangs on the seed and the row's values alone. Null texts have
     size 0 and are taken with 0 words; a null source is a source of its own, weighed last.
-    Repeated rows are separate candidates. Extra columns are left out. Empty table: no rows.
+    Repeated rows are separate candidates; ``row`` tells texts and sources of one doc_id apart. Extra columns are left out. Empty table: no rows.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col(text_col)).alias("size")).withColumn("pick", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("size")))
+    rows = docs.select("doc_id", "source", word_count(F.col(text_col)).alias("size"), row_of(text_col).alias("row")).withColumn("pick", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("size")))
     rows = common.materialise(rows, "sizes")
     histogram = common.materialise(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
     goals = common.materialise(targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, budget, repeats), "targets")
@@ -124,20 +129,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     chosen = common.materialise(chosen, "chosen").select(F.col("source").alias("__source"), F.col("size").alias("__size"), "source_size", "target", "whole", "more")
     # the seeded order: slices are the hash's top bits, so rank order is hash order
     salt = F.shiftrightunsigned(F.col("pick"), 56)
-    ranked = common.ranks_within(rows, ["source", "size"], ["pick", "doc_id"], salt)
+    ranked = common.ranks_within(rows, ["source", "size"], ["pick", "doc_id", "row"], salt)
     out = ranked.join(chosen, ranked["source"].eqNullSafe(chosen["__source"]) & (ranked["size"] == chosen["__size"]))
     taken = F.col("size") * (F.col("whole") + F.when(F.col("rank") < F.col("more"), 1).otherwise(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "row")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The mix itself: rows of ``docs`` repeated as often as the mix takes them, in their own columns.
 
     A document of size 0 carries no words and stays once, so that nothing without cost is lost.
-    Repeated doc_ids are joined by their id and size: each keeps the mean number of repeats only
-    where all copies agree, so callers give unique ids.
+    Different texts that share a doc_id, or have none, are taken each as the mix says. Rows that
+    repeat doc_id, source and text are each taken as often as the one taken most.
     """
-    plan = mix(docs, **options).select(F.col("doc_id").alias("__id"), F.when(F.col("size") == 0, 1).otherwise((F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")).alias("__times"))
-    plan = plan.groupBy("__id").agg(F.max("__times").alias("__times"))
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"])).where("__times > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[rows[c] for c in docs.columns])
+    times = F.when(F.col("size") == 0, 1).otherwise((F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int"))
+    plan = mix(docs, text_col=text_col, **options).select(F.col("doc_id").alias("__id"), F.col("row").alias("__plan"), times.alias("__times"))
+    plan = plan.groupBy("__id", "__plan").agg(F.max("__times").alias("__times")).where("__times > 0")
+    marked = docs.withColumn("__row", row_of(text_col))
+    rows = marked.join(plan, marked["doc_id"].eqNullSafe(plan["__id"]) & (marked["__row"] == plan["__plan"]))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[marked[c] for c in docs.columns])

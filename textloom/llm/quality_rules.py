@@ -132,18 +132,18 @@ def padded(histogram: str, n: int) -> Column:
     return F.concat(F.slice(histogram, F.lit(1), F.size(histogram) - 1), gap, F.slice(histogram, F.size(histogram), F.lit(1)))
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, base counts, class_distance, word_distance, base_failed, kept for every row.
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, base counts, class_distance, word_distance, base_failed, kept, and ``keep`` columns for every row.
 
     A null or empty text has counts of 0 and fails the base rule. A null or rare language is
-    held against the pooled reference. Repeated rows are judged each; extra columns are left
-    out; an empty table gives no rows. Texts are read twice: for the languages' common words,
+    held against the pooled reference. Repeated rows are judged each; other columns are
+    left out; an empty table gives no rows. Texts are read twice: for the languages' common words,
     and for everything else.
     """
     reference = common.materialise(reference_words(docs, text_col, lang_col), "reference-words")  # at most MAX_LANGUAGES + 1 short rows
     shared = reference.where(F.col("lang").isNull()).select(F.explode("common")).collect()  # at most COMMON_WORDS words
     pooled = F.array(*[F.lit(r[0]) for r in shared]).cast("array<string>")
-    counts = base_counts(docs, text_col, lang_col)
+    counts = base_counts(docs, text_col, lang_col, keep)
     known = F.broadcast(reference).where(F.col("lang").isNotNull()).withColumnsRenamed({"lang": "ref_lang", "common": "own"})
     paired = counts.join(known, F.col("lang") == F.col("ref_lang"), "left")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
@@ -152,7 +152,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
     lower_short = F.transform(short, lambda w: F.translate(w, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     occurrences = bind(F.struct(lower_short.alias("w"), F.coalesce(F.col("own"), pooled).alias("ref")), lambda v: F.transform(v["ref"], lambda r: (F.size(v["w"]) - F.size(F.array_remove(v["w"], r))).cast("double")))
     classes = F.array(*[F.greatest(c, F.lit(0)).cast("double") for c in (F.col("n_lower"), F.col("n_upper"), F.col("n_digit"), F.col("n_mark"), F.col("n_symbols"), F.col("n_beyond"), F.col("n_rest") - F.col("n_upper") - F.col("n_digit") - F.col("n_mark") - F.col("n_symbols") - F.col("n_beyond"))])
-    features = paired.withColumn("n_lower", F.col("word_chars") - F.col("n_rest")).select("doc_id", F.col("ref_lang"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", classes.alias("classes"), occurrences.alias("hits"))
+    features = paired.withColumn("n_lower", F.col("word_chars") - F.col("n_rest")).select("doc_id", F.col("ref_lang"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", classes.alias("classes"), occurrences.alias("hits"), *keep)
     features = common.materialise(features, "features")
     # the references: each bin's median share over all documents of the language that are long enough;
     # a median stays where it is when a minority of documents is junk
@@ -170,13 +170,15 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
     near = (F.coalesce("class_distance", F.lit(0.0)) <= CLASS_LIMIT) & (F.coalesce("word_distance", F.lit(0.0)) <= WORD_LIMIT)
     near = near & (F.coalesce(F.col("class_distance") + F.col("word_distance"), F.lit(0.0)) <= BOTH_LIMIT)
     judged = judged.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & ((F.col("n_words") < GUARD_WORDS) | near))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance", F.col("ref_lang").alias("reference"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance", F.col("ref_lang").alias("reference"), *keep)
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows whose text the rules reject.
 
-    Rows that share a doc_id go only if all of them are rejected.
+    Different texts that share a doc_id, or have none, are kept or rejected each by itself.
     """
-    good = judge(docs, **options).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["__id"]), "left_semi")
+    # the number between text and language keeps a null's place
+    marked = docs.withColumn("__row", F.xxhash64(F.col(text_col), F.lit(0), F.col(lang_col)))
+    good = judge(marked, text_col, lang_col, keep=("__row",)).where("kept").select(F.col("doc_id").alias("__id"), F.col("__row").alias("__good")).distinct()
+    return marked.join(good, marked["doc_id"].eqNullSafe(good["__id"]) & (marked["__row"] == good["__good"]), "left_semi").drop("__row")

@@ -55,16 +55,16 @@ def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED, chunk:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED, text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, row (tells texts of one doc_id apart), fp (the 64 bits as a signed long)."""
     common.arrow_rows(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.fromiter((fingerprint(t, words, seed) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            got = np.fromiter((fingerprint(t, words, seed) for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got.view(np.int64))], names=["doc_id", "row", "fp"])
 
-    return docs.select("doc_id", F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.xxhash64(text_col).alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, row long, fp long")
 
 
 def planes_of(prints: np.ndarray, bits: list[int]) -> list[int]:
@@ -168,11 +168,11 @@ def link_fingerprints(prints: DataFrame, radius: int = RADIUS, block: int = BLOC
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id reachable over links of at most ``radius`` bits.
+    """doc_id, row, fp, root, component_id: the smallest doc_id reachable over links of at most ``radius`` bits.
 
     Equal fingerprints are one class and are linked without being compared; a null, empty or
     blank text has the fingerprint zero, linked like any other. Null doc_ids belong to their
-    class and never name it unless it has no other. Repeated rows come out as often as they
+    class and never name it unless it has no other; ``root`` (a fingerprint) tells such classes apart. Repeated rows come out as often as they
     came in; extra columns are left out; an empty table gives no rows.
     """
     rows = common.materialise(fingerprints(docs, words, seed, text_col), "prints")
@@ -180,8 +180,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     roots = common.materialise(common.connected_components(link_fingerprints(classes.select("fp"), radius)), "roots")
     labelled = classes.join(roots, classes["fp"] == roots["node"], "left").select(F.col("fp").alias("class_fp"), F.coalesce("root", "fp").alias("root"), "least")
     names = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = common.materialise(labelled.join(names.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select("class_fp", "component_id"), "named")
-    return rows.join(named, rows["fp"] == named["class_fp"], "left").select("doc_id", "fp", "component_id")
+    named = common.materialise(labelled.join(names.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select("class_fp", "root", "component_id"), "named")
+    return rows.join(named, rows["fp"] == named["class_fp"], "left").select("doc_id", "row", "fp", "root", "component_id")
 
 
 def hex_digits(fp: str = "fp") -> Column:
@@ -189,11 +189,14 @@ def hex_digits(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
+def keep_first(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group left: the one that names its component.
 
-    Where rows repeat that doc_id, one of them stays.
+    Where different texts share that doc_id, or have none, one of the group's own stays; where
+    rows repeat doc_id and text, one row of them.
     """
-    found = near_duplicates(docs, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    found = near_duplicates(docs, text_col=text_col, **options).where("doc_id <=> component_id")
+    first = found.groupBy("root", F.col("component_id").alias("__id")).agg(F.min("row").alias("__first"))
+    marked = docs.withColumn("__row", F.xxhash64(text_col))
+    kept = marked.join(first, marked["doc_id"].eqNullSafe(first["__id"]) & (marked["__row"] == first["__first"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__row"]).drop("__row")
