@@ -196,7 +196,9 @@ def keep_first(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     rows repeat doc_id and text, one row of them.
     """
     found = near_duplicates(docs, text_col=text_col, **options).where("doc_id <=> component_id")
-    first = found.groupBy("root", F.col("component_id").alias("__id")).agg(F.min("row").alias("__first"))
-    marked = docs.withColumn("__row", F.xxhash64(text_col))
-    kept = marked.join(first, marked["doc_id"].eqNullSafe(first["__id"]) & (marked["__row"] == first["__first"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__row"]).drop("__row")
+    first = found.groupBy("root", "component_id").agg(F.min("row").alias("__row"))
+    # keys without nulls, so that the join's partitioning serves the removal of repeats and texts are shuffled once
+    id_hash = lambda c: F.xxhash64(F.lit(7), F.col(c)).alias("__id")
+    marked = docs.select("*", id_hash("doc_id"), F.xxhash64(text_col).alias("__row"))
+    kept = marked.join(first.select(id_hash("component_id"), "__row"), ["__id", "__row"], "left_semi")
+    return kept.dropDuplicates(["__id", "__row"]).select(*docs.columns)
