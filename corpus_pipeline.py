@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import common, lines, mixing, packing, quality_rules, simhash
+from textloom.llm import common, lines, mixing, packing, quality_rules, shingles, simhash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.keep_first(docs)
+    """One document of each group of near copies (5-word shingles, Jaccard similarity of 0.8 or more) stays."""
+    return simhash.keep_named(docs, shingles.near_duplicates(docs))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs)
 
 
-STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("source mix", source_mix), ("best-fit packing", best_fit_packing)]
+STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("source mix", source_mix), ("best-fit packing", best_fit_packing)]
 
 #: Fingerprints, the knapsack and the tokenizer are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -10,7 +10,7 @@ import pytest
 from llm_data import LOW, make
 from pyspark.sql import functions as F
 
-from textloom.llm import classifier, common, licenses, lines, mixing, packing, quality_rules, simhash, substrings
+from textloom.llm import classifier, common, licenses, lines, mixing, packing, quality_rules, shingles, simhash, substrings
 
 
 def words(text):
@@ -222,6 +222,41 @@ def test_keep_first_and_empty(edge, empty, spark):
     assert {r["component_id"] for r in simhash.near_duplicates(many).collect()} == {0}
 
 
+def test_near_dedup_stage_finds_changed_words(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    base = [[f"w{k}" for k in rng.integers(0, 5000, 150)] for _ in range(12)]
+    rows, sets = [], {}
+    for b, own in enumerate(base):
+        for k in range(8):
+            text = list(own)
+            for at in rng.choice(150, k, replace=False):
+                text[at] = f"x{at}"
+            rows.append((8 * b + k, " ".join(text), "en", "a"))
+            sets[8 * b + k] = {tuple(text[j : j + 5]) for j in range(146)}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    docs = make(spark, rows)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect())
+    assert kept == sorted(set(root.values())) and len(kept) < len(rows)
+    members = docs.select(F.lit(1).alias("g"), F.col("doc_id").alias("fp"), F.lit(146).alias("n"), "text")
+    found = {r["node"]: r["root"] for r in common.connected_components(shingles.link_sets(members, block=2000)).collect()}
+    assert all(found.get(i, i) == root[i] for i in root)
+
+
+def test_bands_miss_no_pair_at_the_threshold():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        x = rng.integers(0, 1 << 63, 100, dtype=np.uint64) * np.uint64(2)
+        a, b = np.sort(x[:90]), np.sort(x[10:])
+        assert set(shingles.band_keys(a)) & set(shingles.band_keys(b))
+
+
 def shared_ids(spark):
     """Different texts that share a doc_id or have none, and copies of them."""
     own = [" ".join(f"{a}{k}" for k in range(40)) for a in ("ash", "birch", "cedar", "dogwood", "elm")]

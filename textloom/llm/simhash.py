@@ -195,7 +195,12 @@ def keep_first(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     Where different texts share that doc_id, or have none, one of the group's own stays; where
     rows repeat doc_id and text, one row of them.
     """
-    found = near_duplicates(docs, text_col=text_col, **options).where("doc_id <=> component_id")
+    return keep_named(docs, near_duplicates(docs, text_col=text_col, **options), text_col)
+
+
+def keep_named(docs: DataFrame, groups: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each of ``groups`` (doc_id, row, root, component_id) left, as ``keep_first`` says."""
+    found = groups.where("doc_id <=> component_id")
     first = found.groupBy("root", "component_id").agg(F.min("row").alias("__row"))
     # keys without nulls, so that the join's partitioning serves the removal of repeats and texts are shuffled once
     id_hash = lambda c: F.xxhash64(F.lit(7), F.col(c)).alias("__id")
