@@ -225,3 +225,12 @@ def test_tf_idf_and_lists(spark):
     black, white = spark.createDataFrame([("0",)], "text_id string"), spark.createDataFrame([("0",), ("1",)], "text_id string")
     assert {r["text_id"] for r in filters.black_and_white(m, black, white).collect()} == {"1"}
     assert filters.run_named(m, ["dummy"]).count() == 4
+
+
+def test_dictionaries_of_many_lengths(spark):
+    names = [" ".join(f"n{k}x{j}" for j in range(k)) for k in range(1, 71)]
+    d = match.merge_dictionary(spark.createDataFrame([(n, "A", 1) for n in names], "name string, id string, taxon int"))
+    assert {r["name"] for r in match.match_names(texts(spark, *names), d).collect()} == set(names)
+    s = spark.createDataFrame([(k, n.split()) for k, n in enumerate(names)], "sent_id long, tokens array<string>")
+    e = spark.createDataFrame([(n.split(), "x") for n in names], "phrase array<string>, type string")
+    assert {r["sent_id"] for r in match.token_dictionary_tags(s, e).collect()} == set(range(70))

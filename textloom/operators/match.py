@@ -94,7 +94,7 @@ def match_names(texts: DataFrame, dictionary: DataFrame, text_col: str = "plain"
     a text to the dictionaries of its species. With ``longest`` the leftmost longest match wins
     within a taxon and later ones that overlap it are dropped; other taxa may overlap.
     """
-    lengths = [r[0] for r in dictionary.select("n_tokens").distinct().orderBy("n_tokens").limit(64).collect()]  # lengths of names, a handful
+    lengths = [r[0] for r in dictionary.select("n_tokens").distinct().orderBy("n_tokens").collect()]  # distinct lengths, never more than the longest name has tokens
     if not lengths:
         lengths = [1]
     gram = token_grams(texts, lengths, text_col)
@@ -221,7 +221,7 @@ def token_dictionary_tags(sentences: DataFrame, entries: DataFrame, drop_contain
     ``sentences`` (sent_id, tokens), ``entries`` (phrase array<string>, type). A phrase that ends
     at the last token counts. Contained matches may be dropped.
     """
-    lengths = [r[0] for r in entries.select(F.size("phrase")).distinct().limit(64).collect()] or [1]
+    lengths = [r[0] for r in entries.select(F.size("phrase")).distinct().collect()] or [1]
 
     def grams(n: int) -> Column:
         starts = F.when(F.size("tokens") >= n, F.sequence(F.lit(0), F.size("tokens") - n)).otherwise(F.array().cast("array<int>"))
