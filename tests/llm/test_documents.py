@@ -404,6 +404,11 @@ def test_runs_compact(spark):
     assert store.runs().count() == 50
 
 
+def test_every_language_has_a_reference(spark):
+    docs = make(spark, [(k, f"word{'abcdefghij'[k % 10]} of {'x' * (k % 9 + 1)}", f"l{k}", "a") for k in range(1030)])
+    assert quality_rules.reference_words(docs, "text", "lang").where("lang is not null").count() == 1030
+
+
 # ---- substrings
 
 

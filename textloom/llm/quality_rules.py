@@ -28,8 +28,6 @@ BOTH_LIMIT = 0.55
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
-#: Languages with a reference of their own; the rest share the pooled one. One broadcast row each.
-MAX_LANGUAGES = 1024
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -109,7 +107,7 @@ def reference_words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     own = counted.where(F.col("lang").isNotNull()).withColumn("k", known).where(F.col("k") <= COMMON_WORDS)
     pooled = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
     sorted_words = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "word"))), lambda s: s["word"])
-    per_lang = own.groupBy("lang").agg(sorted_words.alias("common"), F.sum("n").alias("weight")).orderBy(F.desc("weight"), "lang").limit(MAX_LANGUAGES).select("lang", "common")
+    per_lang = own.groupBy("lang").agg(sorted_words.alias("common"))
     return per_lang.unionByName(pooled.agg(sorted_words.alias("common")).select(F.lit(None).cast("string").alias("lang"), "common"))
 
 
@@ -135,16 +133,16 @@ def padded(histogram: str, n: int) -> Column:
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, base counts, class_distance, word_distance, base_failed, kept, and ``keep`` columns for every row.
 
-    A null or empty text has counts of 0 and fails the base rule. A null or rare language is
+    A null or empty text has counts of 0 and fails the base rule. A null language is
     held against the pooled reference. Repeated rows are judged each; other columns are
     left out; an empty table gives no rows. Texts are read twice: for the languages' common words,
     and for everything else.
     """
-    reference = common.materialise(reference_words(docs, text_col, lang_col), "reference-words")  # at most MAX_LANGUAGES + 1 short rows
+    reference = common.materialise(reference_words(docs, text_col, lang_col), "reference-words")  # a short row a language
     shared = reference.where(F.col("lang").isNull()).select(F.explode("common")).collect()  # at most COMMON_WORDS words
     pooled = F.array(*[F.lit(r[0]) for r in shared]).cast("array<string>")
     counts = base_counts(docs, text_col, lang_col, keep)
-    known = F.broadcast(reference).where(F.col("lang").isNotNull()).withColumnsRenamed({"lang": "ref_lang", "common": "own"})
+    known = reference.where(F.col("lang").isNotNull()).withColumnsRenamed({"lang": "ref_lang", "common": "own"})
     paired = counts.join(known, F.col("lang") == F.col("ref_lang"), "left")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
     # words of at most COMMON_LENGTH code points, then one native pass a common word
@@ -163,7 +161,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep:
     medians = lambda c, n: F.array(*[F.coalesce(F.percentile_approx(share(c, k), F.lit(0.5), F.lit(10_000)), F.lit(0.0)) for k in range(n)])
     bins = features.withColumn("words_histogram", padded("words_histogram", COMMON_WORDS + 1))
     centres = bins.groupBy("ref_lang").agg(medians("classes", 7).alias("ref_classes"), medians("words_histogram", COMMON_WORDS + 1).alias("ref_words"))
-    centres = F.broadcast(common.materialise(centres.withColumnRenamed("ref_lang", "centre_lang"), "references"))  # a row a reference
+    centres = common.materialise(centres.withColumnRenamed("ref_lang", "centre_lang"), "references")  # a row a reference
     held = bins.join(centres, F.col("ref_lang").eqNullSafe(F.col("centre_lang")), "left")
     judged = held.withColumn("class_distance", distance(F.col("classes"), F.col("ref_classes"))).withColumn("word_distance", distance(F.col("words_histogram"), F.col("ref_words")))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
