@@ -57,6 +57,27 @@ def test_encoder_agrees_with_tokenizer():
             assert np.frombuffer(raw, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
+def test_encoder_with_a_warm_cache_in_any_order():
+    import random
+
+    import public_tokenizers
+
+    bits = ["hello", "dogs", "end", "no", "été", "İ", "ß", "Ω", "σας", "漢", "語", "😀", "👍🏽", "\u0301", "\u0327", "e\u0301", "'", "’", '"', "“", "”", "-", "—"]
+    bits += [".", ",", "…", "(", ")", "?", "!", "#", "1", "23", "½", "<|endoftext|>", "<|", "|>", "\t", "\u00a0", "\x1c", "s", "t", "re", "K", "ﬁ", "ǰ", "ŉ", "I", "$", "A", "Zz", "\ufb1d", "\u200b"]
+    rng = random.Random(5)
+    texts = [rng.choice((" ", "  ", "\n")).join("".join(rng.choices(bits, k=rng.randint(1, 4))) for _ in range(rng.randint(1, 3))) for _ in range(100_000)]
+    texts[:6] = ['"hello"', '"hello".', "dogs'", "dogs',", '(end)".', "“no”."]
+    wanted = [x.ids for x in tokenizer().encode_batch(texts, add_special_tokens=False)]
+    e = packing.WordEncoder(public_tokenizers.path(packing.TOKENIZER), cache=20_000)
+    order = list(range(len(texts)))
+    for _ in range(2):
+        rng.shuffle(order)
+        for at in range(0, len(order), 256):
+            own = order[at : at + 256]
+            for k, raw in zip(own, e.batch([texts[k] for k in own]), strict=True):
+                assert np.frombuffer(raw, "<u4").tolist() == wanted[k], texts[k]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_bins_are_valid_and_tight(seed):
     rng = np.random.default_rng(seed)

@@ -10,6 +10,7 @@ their place by their rank within their length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -27,6 +28,15 @@ CACHE = 400_000
 #: Marks that form one unit of their own after the letters of a word; an apostrophe may not.
 MARKS = "#$%&*!.,;:?|<>()"
 TOKENIZER = "word_bpe_49k.json"
+WORD_END = "</w>"
+#: Longer words do not stay in the cache.
+LONG = 200
+LATIN = re.compile(r"[A-Za-zÀ-\u024F]+")
+
+
+def plain_letters(word: str) -> bool:
+    """Latin letters that lower-casing leaves one letter each and that no normal form changes."""
+    return bool(LATIN.fullmatch(word)) and word.isalpha() and len(low := word.lower()) == len(word) and low.isalpha()
 
 
 class WordEncoder:
@@ -43,50 +53,67 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # byte-level units: one letter a byte, and a mark at a word's end
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.ends, self.sizes = (np.zeros(self.tokenizer.get_vocab_size() + 1, kind) for kind in (bool, np.int64))
+        for unit, i in vocab.items():
+            self.ends[i] = unit.endswith(WORD_END)
+            self.sizes[i] = len(unit.removesuffix(WORD_END))
         self.cache: dict[str, bytes] = {"": b""}
         self.limit = cache
 
-    def _one(self, word: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            yield word, np.asarray(got.ids, "<u4").tobytes()
+
+    def _joined(self, bases: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words of plain letters, encoded as one text.
+
+        Each is one unit and closes with an id of a word's end; the bytes that the ids up to there
+        stand for must be the word's own, or all go through the tokenizer one by one.
+        """
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(bases)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        sizes = np.cumsum([len(b.encode()) for b in bases])
+        if len(stops) != len(bases) or (np.cumsum(self.sizes[ids])[stops - 1] != sizes).any():
+            yield from self._whole(bases)
+            return
+        raw, places = ids.tobytes(), (4 * stops).tolist()
+        yield from zip(bases, (raw[a:b] for a, b in zip([0, *places], places, strict=False)), strict=True)
 
     def _learn(self, words: Iterable[str]) -> None:
+        """Ids of ``words`` into the cache; they do not hang on what it holds already.
+
+        Only plain letters with marks behind are put together from two parts: the letters are one
+        unit of the tokenizer and the marks another. Every other word goes through it whole.
+        """
         known = self.cache
-        waiting: dict[str, list[tuple[str, bytes]]] = {}
+        parts: list[tuple[str, str, str]] = []
+        new: set[str] = set()
+        whole: set[str] = set()
         for word in words:
             base = word.rstrip(MARKS)
-            mark = word[len(base) :]
-            if mark and mark not in known:
-                known[mark] = self._one(mark)
-            tail = known[mark]
-            base = base.lower() if base.isascii() else base
-            if base in known:
-                known[word] = known[base] + tail
-            elif base.isalpha():
-                waiting.setdefault(base, []).append((word, tail))
-            else:
-                known[word] = self._one(word)
-        if not waiting:
-            return
-        # letters only: each word is one unit and closes with an id of a word's end
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(waiting)], add_special_tokens=False)[0].ids, "<u4")
-        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(stops) == len(waiting):
-            raw = ids.tobytes()
-            got = [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
-        else:
-            got = [self._one(w) for w in waiting]
-        for (base, users), own in zip(waiting.items(), got, strict=True):
-            known[base] = own
-            for word, tail in users:
-                known[word] = own + tail
+            if not (base.isalpha() and (base.isascii() or plain_letters(base))):
+                whole.add(word)
+                continue
+            low = base.lower()
+            if low not in known:
+                new.add(low)
+            if low != word:
+                mark = word[len(base) :]
+                parts.append((word, low, mark))
+                if mark not in known:
+                    whole.add(mark)
+        known.update(self._whole(list(whole)))
+        if new:
+            known.update(self._joined(list(new)))
+        for word, low, mark in parts:
+            known[word] = known[low] + known[mark] if mark else known[low]
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null text has none."""
         if len(self.cache) > self.limit:  # words met early are the frequent ones
-            self.cache = dict(islice(self.cache.items(), self.limit // 2))
+            self.cache = {"": b""} | dict(islice(self.cache.items(), self.limit // 2))
         words = [(text or "").replace("\n", " ").split(" ") for text in texts]
         found: set[str] = set()
         for own in words:
@@ -96,6 +123,9 @@ class WordEncoder:
         ids = self.cache
         for own in words:
             yield b"".join([ids[w] for w in own])
+        for word in new:
+            if len(word) > LONG:  # text without spaces would fill the cache with bytes
+                del ids[word]
 
 
 def worker_encoder(path: str) -> WordEncoder:
@@ -245,7 +275,10 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     """Pack whole ``docs`` (doc_id, text) into sequences of at most ``capacity`` ids.
 
     Null or empty text: one piece of the id ``end``. Null doc_ids stay null. Repeated rows are
-    packed once each. Extra columns, whatever their names, are left out. Empty table: no rows.
+    packed once each. Long texts are cut into pieces of ``capacity`` ids; nothing is left out.
+    Pieces of one length take places in the order of doc_id, piece, start and CRC within a
+    slice by hash; only equal rows tie there, so reruns agree. Extra columns, whatever their
+    names, are left out. Empty table: no rows.
     """
     if tokenizer_path is None:
         import public_tokenizers
