@@ -7,6 +7,7 @@ from textloom.functions import alignment, measures, text
 from textloom.functions.name_patterns import category, finite_strings, is_dropped, name_pattern, name_variations, numeral_pattern
 from textloom.functions.porter import porter_stem
 from textloom.functions.ranges import enumerate_names, expand_ranges, is_base
+from textloom.functions.sentences import rule_sentences, split_sentences
 
 
 def one(spark, column, **values):
@@ -34,6 +35,12 @@ def one(spark, column, **values):
         (" haplotypes rs737865-rs4680-rs165599 in", " haplotypes rs737865-rs4680-rs165599 in"),
         ("BMP2/4 is", "BMP2 and BMP4 is"),
         ("days 1 and 2", "days 1 and 2"),
+        (" FA proteins A, C, G and F ", " FA proteins A, FA proteins C, FA proteins G, and FA proteins F, or FA protein A, FA protein C, FA protein G, and FA protein F "),
+        ("kind of thing a, b, and c", "kind of thing a, thing b, and thing c"),
+        (" GlcNAc6ST-1, -2, and -3 ", " GlcNAc6ST-1, GlcNAc6ST-2, and GlcNAc6ST-3 "),
+        (" MURF-I, II and IV ", " MURF-I, II and IV "),
+        ("from 27 and then at 3q27-29 and here", "from 27 and then at 3q27-29 and here"),
+        ("freac 1-3 and freac-1 to 3", "freac 1, freac 2, and freac 3 and freac-1 to 3"),
         ("X1 and 2. X1 and 2", "X1 and X2. X1 and X2"),
         ("", ""),
         (None, None),
@@ -57,9 +64,45 @@ def test_porter():
 def test_naive_and_rule_sentences(spark):
     assert one(spark, text.naive_sentences(F.col("t")), t="One two. Three!\nFour; five") == ["One two", "Three", "Four", "five"]
     s = "BACKGROUND: We saw (Fig. 1. Left) a cat. Dr. Smith ran, i.e. He ran fast. It works [see ref. 2. Here]. The end."
-    got = one(spark, text.rule_sentences(F.col("t")), t=s)
+    got = one(spark, rule_sentences(F.col("t")), t=s)
     assert got[-1] == "The end." and any("Dr. Smith ran, i.e. He ran fast." in x for x in got) and any("(Fig. 1. Left)" in x for x in got)
-    assert one(spark, text.rule_sentences(F.col("t")), t="[Ein Titel.]") == ["[ Ein Titel. ]"]
+    assert one(spark, rule_sentences(F.col("t")), t="[Ein Titel.]") == ["[ Ein Titel. ]"]
+
+
+@pytest.mark.parametrize(
+    ("line", "expected"),
+    [
+        ("Good vaccination.8 However, it was.The end.", ["Good vaccination 8.", "However, it was.", "The end."]),
+        ("Of type 3 A. Then D. mel flew, cf. vs. Others.", ["Of type 3 A.", "Then D. mel flew, cf. vs. Others."]),
+        ('He said "no." But why? "Who knows!" 5 did: Yes; No', ['He said "no."', "But why?", '"Who knows!"', "5 did:", "Yes;", "No"]),
+        ("Methods and Results: We did. RESULTS It worked.", ["Methods and Results:", "We did.", "RESULTS", "It worked."]),
+        ("One (a. B. (c. D) e. F) two. Three (open. Here", ["One (a. B. (c. D) e. F) two.", "Three (open.", "Here"]),
+        ("A [x. Y) z. W] b. C", ["A [x. Y) z. W] b.", "C"]),
+        ("[Titel. Zwei.]", ["[ Titel.", "Zwei. ]"]),
+        ("", []),
+        (None, None),
+    ],
+)
+def test_rule_sentences(line, expected):
+    assert split_sentences(line) == expected
+
+
+@pytest.mark.parametrize(
+    ("name", "expected"),
+    [
+        ("synuclein, alpha", ["synuclein, alpha", "alpha synuclein"]),
+        ("hypothetical protein FLJ1 (human homolog)", ["FLJ1"]),
+        ("abc protein, short-chain specific, neutral membrane, 10", ["abc protein, 10"]),
+        ("abc, mitochondrial precursor", ["abc"]),
+        ("foo kinase, mitochondrial; other", ["foo kinase"]),
+        ("nuclear factor NF kappa B", ["nuclear factor NF kappa B", "nuclear factor kappa B", "NF kappa B"]),
+        ("foo bar, isozyme B", ["foo bar, isozyme B", "foo bar", "isozyme B of foo bar"]),
+        ("CD4 antigen", ["CD4 antigen", "Anti-CD4"]),
+        ("12 KDa thing [Mus musculus]", ["12kDa thing"]),
+    ],
+)
+def test_name_variations(name, expected):
+    assert name_variations(name) == expected
 
 
 @pytest.mark.parametrize(("position", "expected"), [(0, "First one."), (12, "Second two."), (25, "Last"), (-1, None), (99, None)])

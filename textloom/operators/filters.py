@@ -50,6 +50,7 @@ def is_unspecific(name: Column, fly: Column | None = None) -> Column:
     generic = lambda x: F.forall(F.split(x, r"[\s,.\-;:()/]+"), lambda p: (p == "") | p.rlike(f"^(?:{part})+$"))
     return (
         one
+        | (n == "")
         | whole(n, r"[\d.\s]+")
         | whole(n, W.SPECIFIERS)
         | whole(n, W.FRAGMENTS)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textloom.functions import measures, text
+from textloom.functions.sentences import rule_sentences
 from textloom.operators import evaluate, filters, match, ontology, score, species, tagger
 from textloom.sources import genes as gene_sources
 from textloom.sources import sinks
@@ -91,7 +92,7 @@ def sentence_split_naive(spark, sf_dir):
 
 @query()
 def sentence_split_rules(spark, sf_dir):
-    s = t(spark, sf_dir, "documents").select("doc_id", text.rule_sentences(F.col("text")).alias("s"))
+    s = t(spark, sf_dir, "documents").select("doc_id", rule_sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").alias("n_sentences"), F.get("s", F.lit(0)).alias("first_sentence"))
 
 
