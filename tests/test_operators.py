@@ -234,3 +234,33 @@ def test_dictionaries_of_many_lengths(spark):
     s = spark.createDataFrame([(k, n.split()) for k, n in enumerate(names)], "sent_id long, tokens array<string>")
     e = spark.createDataFrame([(n.split(), "x") for n in names], "phrase array<string>, type string")
     assert {r["sent_id"] for r in match.token_dictionary_tags(s, e).collect()} == set(range(70))
+
+
+def test_context_is_that_of_the_mention_itself(spark):
+    line = "old TNFx and abc TNF binds. The end"
+    m = filters.with_context(mentions(spark, [("0", 35, 37, "TNF", ["1"])]), texts(spark, "Zero. " * 3 + line))
+    assert m.first()["sentence_begin"] == 18
+    got = {(r["position"], r["token"]) for r in filters.position_contexts(m, 2).collect()}
+    assert got == {(0, "and"), (0, "abc"), (1, "tnf"), (2, "binds")}
+    # the second "Abc" stands behind "human", the first behind "mouse"
+    g = spark.createDataFrame([("h", 9606, ["abc"]), ("m", 10090, ["abc"])], "gene_id string, taxon int, names array<string>")
+    rows = filters.with_context(mentions(spark, [("0", 6, 8, "Abc", ["h", "m"]), ("0", 20, 22, "Abc", ["h", "m"])]), texts(spark, "mouse Abc and human Abc are. "))
+    assert {r["begin"]: r["candidates"] for r in filters.validate_species(rows, g).collect()} == {6: ["m"], 20: ["h"]}
+
+
+def test_named_filters_get_what_they_declare(spark):
+    m = filters.with_context(mentions(spark, [("0", 0, 8, "TNF-alpha", ["1", "2"]), ("0", 10, 12, "the", ["2"])]), texts(spark, "TNF-alpha the end. "))
+    g = spark.createDataFrame([("1", 9606, ["TNF alpha"]), ("2", 9606, ["other entirely"])], "gene_id string, taxon int, names array<string>")
+    words = spark.createDataFrame([("the",)], "word string")
+    got = filters.run_named(m, ["stop_words", "align_candidates", "dummy"], genes=g, words=words, threshold=0.7).collect()
+    assert [(r["name"], r["candidates"]) for r in got] == [("TNF-alpha", ["1"])]
+    with pytest.raises(ValueError, match="stop_words needs words"):
+        filters.run_named(m, ["stop_words"], genes=g)
+
+
+def test_patterns_in_parts(spark):
+    d = spark.createDataFrame([("[Aa]b", ["1"]), ("[Aa]b cd", ["2"]), ("ab(?: cd)?", ["3"]), ("cd", ["4"])], "regex string, ids array<string>")
+    t = texts(spark, "ab cd, Ab; cd xab", None, "")
+    got = [sorted((r["begin"], r["end"], tuple(r["candidates"])) for r in match.match_patterns(t, d, at_once=k).collect()) for k in (1, 2, 100)]
+    assert got[0] == got[1] == got[2] == [(0, 4, ("2", "3")), (7, 8, ("1",)), (11, 12, ("4",))]
+    assert match.match_patterns(t, d.where("false")).collect() == []

@@ -19,8 +19,9 @@ def test_directory(spark, tmp_path):
     body = "<PubmedArticleSet>\n" + "\n".join(RECORD.format(pmid=k) for k in (8, 9)) + "\n</PubmedArticleSet>"
     (tmp_path / "set.medlines.xml").write_text(body)
     (tmp_path / "medline11n0001.xml.gz").write_bytes(gzip.compress(body.replace(">8<", ">18<").replace(">9<", ">19<").encode()))
+    (tmp_path / "other.xml").write_text("<r>\n<p>Two <b>three</b></p>\n</r>")
     got = {r["text_id"]: r for r in texts.directory(spark, str(tmp_path)).collect()}
-    assert set(got) == {"123", "7", "8", "9", "18", "19"}
+    assert set(got) == {"123", "7", "8", "9", "18", "19", "other"} and got["other"]["plain"] == "Two three"
     assert got["123"]["plain"] == "A title The abstract of it." and got["123"]["pmid"] == 123 and got["123"]["title"] == "A title"
     assert got["9"]["plain"] == "Title 9. Body of 9. More." and got["9"]["pmid"] == 9
 
@@ -148,5 +149,5 @@ def test_stream(spark, tmp_path):
 
 
 def test_requests(spark):
-    r = spark.range(1).select(annotate.request_fields(F.lit("Text=a%20b&task=gner")).alias("f"), annotate.request_blocks(F.lit("<text>a</text><text>b</text>")).alias("b"), annotate.socket_fields(F.lit("a></-/><b\r")).alias("s")).first()
-    assert r["f"] == {"text": "a b", "task": "gner"} and r["b"] == ["a", "b"] and r["s"] == ["a", "b"]
+    r = spark.range(1).select(annotate.request_fields(F.lit("Text=a%20b&task=x&TASK=gner&a")).alias("f"), annotate.request_blocks(F.lit("<text>a</text><text>b</text>")).alias("b"), annotate.socket_fields(F.lit("a></-/><b\r")).alias("s")).first()
+    assert r["f"] == {"text": "a b", "task": "gner", "a": ""} and r["b"] == ["a", "b"] and r["s"] == ["a", "b"]

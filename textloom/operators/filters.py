@@ -7,6 +7,7 @@ Rules that look at a sentence need the columns ``sentence`` and ``plain``, which
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from inspect import signature
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from textloom.functions import alignment
-from textloom.functions.text import context_tokens, escape_name, sentence_around
+from textloom.functions.text import context_tokens, escape_name, sentence_span
 from textloom.operators import word_lists as W
 from textloom.operators.species import PATTERNS, species_names
 
@@ -22,10 +23,11 @@ FLY = 7227
 
 
 def with_context(mentions: DataFrame, texts: DataFrame) -> DataFrame:
-    """Adds plain (the text) and sentence (around the mention's begin)."""
+    """Adds plain (the text), sentence (around the mention's begin) and sentence_begin."""
     t = texts.select(F.col("text_id").alias("__t"), "plain")
-    joined = mentions.drop("plain", "sentence").join(t, F.col("text_id") == F.col("__t")).drop("__t")
-    return joined.withColumn("sentence", sentence_around(F.col("plain"), F.col("begin")))
+    joined = mentions.drop("plain", "sentence", "sentence_begin").join(t, F.col("text_id") == F.col("__t")).drop("__t")
+    spanned = joined.withColumn("__span", sentence_span(F.col("plain"), F.col("begin")))
+    return spanned.withColumn("sentence", F.col("__span.sentence")).withColumn("sentence_begin", F.col("__span.start")).drop("__span")
 
 
 def whole(name: Column, pattern: str) -> Column:
@@ -253,10 +255,10 @@ def strict_false_positives(mentions: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def position_contexts(mentions: DataFrame, k: int = 2, words: Iterable[str] = ()) -> DataFrame:
-    """keys -> (position 0 left, 1 name, 2 right; token), from the sentence around each mention."""
-    at = F.position(F.col("name"), F.col("sentence"))
-    left = F.array_remove(F.split(F.lower(F.substr("sentence", F.lit(1), F.greatest(at - 1, F.lit(0)))), r"[^a-z0-9]+"), "")
-    right = F.array_remove(F.split(F.lower(F.substr("sentence", at + F.length("name"))), r"[^a-z0-9]+"), "")
+    """keys -> (position 0 left, 1 name, 2 right; token), from the sentence around each mention, at the mention's own place."""
+    at = F.col("begin") - F.col("sentence_begin")
+    left = F.array_remove(F.split(F.lower(F.substr("sentence", F.lit(1), F.greatest(at, F.lit(0)))), r"[^a-z0-9]+"), "")
+    right = F.array_remove(F.split(F.lower(F.substr("sentence", at + F.length("name") + 1)), r"[^a-z0-9]+"), "")
     tagged = lambda p, arr: F.transform(arr, lambda t: F.struct(F.lit(p).alias("position"), t.alias("token")))
     every = F.concat(tagged(0, context_tokens(left, k, words)), tagged(1, F.array(F.lower("name"))), tagged(2, context_tokens(right, k, words, left=False)))
     return mentions.select("text_id", "begin", "end", "name", F.explode(every).alias("c")).select("text_id", "begin", "end", "name", "c.position", "c.token")
@@ -366,9 +368,9 @@ def species_frequency(candidates: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.where(F.col("taxon").isNull() | F.col("top").isNull() | (F.col("top") / 2 <= n)).select(*candidates.columns)
 
 
-def species_before(sentence: Column, name: Column, others: Column) -> Column:
-    """Taxa of the species word directly before a name, over other names, commas, "and" and "or"."""
-    left = F.substr(sentence, F.lit(1), F.greatest(F.position(name, sentence) - 1, F.lit(0)))
+def species_before(sentence: Column, place: Column, others: Column) -> Column:
+    """Taxa of the species word directly before a place in the sentence, over other names, commas, "and" and "or"."""
+    left = F.substr(sentence, F.lit(1), F.greatest(place, F.lit(0)))
     bare = F.aggregate(others, left, lambda s, o: F.replace(s, o, F.lit(" ")))
     bare = F.regexp_replace(bare, r"(?:[\s,]+|\b(?:and|or)\b)+$", "")
     hits = [F.when(bare.rlike(rf"(?<!\w)(?:{p})$"), F.array(*[F.lit(t) for t in taxa])).otherwise(F.array().cast("array<int>")) for taxa, p in PATTERNS.values()]
@@ -384,7 +386,7 @@ def validate_species(mentions: DataFrame, genes: DataFrame, parents: DataFrame |
     counts = [F.when(F.size(species_names(s, p)) > 0, F.array(*[F.lit(t) for t in taxa])).otherwise(F.array().cast("array<int>")) for taxa, p in PATTERNS.values()]
     named = F.array_distinct(F.flatten(F.array(*counts)))
     rows = mentions.withColumn("__names", F.collect_set("name").over(Window.partitionBy("text_id", "sentence")))
-    rows = rows.withColumn("__named", named).withColumn("__taxa", F.when(F.size("__named") == 1, F.col("__named")).when(F.size("__named") > 1, species_before(s, F.col("name"), F.array_except("__names", F.array("name")))).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn("__named", named).withColumn("__taxa", F.when(F.size("__named") == 1, F.col("__named")).when(F.size("__named") > 1, species_before(s, F.col("begin") - F.col("sentence_begin"), F.array_except("__names", F.array("name")))).otherwise(F.array().cast("array<int>")))
     keys = ["text_id", "begin", "end", "name"]
     cand = rows.where(F.size("__taxa") > 0).select(*keys, "__taxa", F.explode("candidates").alias("gene_id")).join(genes.select("gene_id", "taxon"), "gene_id", "left")
     if parents is not None:
@@ -465,10 +467,12 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {
 REGISTRY["dummy"] = lambda mentions: mentions
 
 
-def run_named(mentions: DataFrame, names: list[str]) -> DataFrame:
-    """Apply filters that need mentions alone, by name and in order."""
+def run_named(mentions: DataFrame, names: list[str], **resources) -> DataFrame:
+    """Apply filters by name and in order; each gets those of ``resources`` (genes, model, words, ...) that it declares."""
     for name in names:
-        mentions = mentions.transform(REGISTRY[name])
+        declared = list(signature(REGISTRY[name]).parameters.values())[1:]
+        missing = [p.name for p in declared if p.default is p.empty and p.name not in resources]
+        if missing:
+            raise ValueError(f"filter {name} needs {', '.join(missing)}")
+        mentions = REGISTRY[name](mentions, **{p.name: resources[p.name] for p in declared if p.name in resources})
     return mentions
-
-

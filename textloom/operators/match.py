@@ -122,45 +122,57 @@ def leftmost_longest(mentions: DataFrame, by: list[str]) -> DataFrame:
     return grouped.select(*by, F.explode(kept).alias("m")).select(*by, "m.*").select(*mentions.columns)
 
 
-def match_patterns(texts: DataFrame, patterns: DataFrame, text_col: str = "plain") -> DataFrame:
+#: Patterns that one task compiles at a time.
+PATTERNS_AT_ONCE = 50_000
+
+
+def match_patterns(texts: DataFrame, patterns: DataFrame, text_col: str = "plain", at_once: int = PATTERNS_AT_ONCE) -> DataFrame:
     """Mentions of pattern entries (regex, ids): text_id, begin, end, name, candidates.
 
     Entries are bucketed by the characters that can begin a match, so a token start tries only
-    its bucket; the patterns come to each task once with the plan. Longest match at a place,
-    no overlaps, ids of equal matches united.
+    its bucket. They come to the tasks in parts of ``at_once``, so memory does not follow the
+    dictionary; each part gives its longest matches at every place, whose ids are united. Longest
+    match at a place, no overlaps.
     """
+    rows = patterns.select("regex", "ids").distinct().withColumn("part", F.pmod(F.xxhash64("regex"), F.lit(max(1, -(-patterns.count() // at_once)))))
+    found = None
+    for (part,) in sorted(rows.select("part").distinct().collect()):
+        own = pattern_places(texts, rows.where(F.col("part") == part), text_col)
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        found = pattern_places(texts, rows, text_col)
+    top = found.groupBy("text_id", "begin").agg(F.max(F.struct("end", "name")).alias("m"), F.collect_list(F.struct("end", "candidates")).alias("all"))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("all", lambda x: x["end"] == F.col("m.end")), lambda x: x["candidates"]))))
+    longest = top.select("text_id", "begin", F.col("m.end").alias("end"), F.col("m.name").alias("name"), ids.alias("candidates"))
+    return leftmost_longest(longest, ["text_id"])
+
+
+def pattern_places(texts: DataFrame, patterns: DataFrame, text_col: str = "plain") -> DataFrame:
+    """The longest matches of ``patterns`` at every token start: text_id, begin, end, name, candidates."""
     kind = texts.schema["text_id"].dataType.simpleString()
-    rows = patterns.select("regex", "ids").orderBy("regex")
-    size = rows.count()
-    if size > 2_000_000:
-        raise ValueError("write patterns of that number out as names and use match_names")
-    shared = texts.sparkSession.sparkContext.broadcast([(r["regex"], list(r["ids"])) for r in rows.toLocalIterator()])  # bounded just above
+    shared = texts.sparkSession.sparkContext.broadcast([(r["regex"], list(r["ids"])) for r in patterns.orderBy("regex").toLocalIterator()])  # one part of the patterns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         entries = [(re.compile(f"(?:{p})(?=[{AFTER}]|$)"), ids) for p, ids in shared.value]
         buckets: dict[str, list[int]] = {}
         probes = [chr(c) for c in range(33, 127)]
-        for k, (_, _ids) in enumerate(entries):
-            heads = first_characters(shared.value[k][0]) or probes
-            for c in heads:
+        for k in range(len(entries)):
+            for c in first_characters(shared.value[k][0]) or probes:
                 buckets.setdefault(c, []).append(k)
         for pdf in batches:
             out = []
             for text_id, text in zip(pdf["text_id"], pdf["__text"], strict=True):
-                at = 0
-                while text and at < len(text):
-                    if at and text[at - 1] not in " :(/-":
-                        at += 1
+                for at, c in enumerate(text or ""):
+                    if c not in buckets or at and text[at - 1] not in " :(/-":
                         continue
                     best, ids = -1, set()
-                    for k in buckets.get(text[at], ()):
+                    for k in buckets[c]:
                         m = entries[k][0].match(text, at)
                         if m and m.end() > at and m.end() >= best:
                             ids = set(entries[k][1]) | (ids if m.end() == best else set())
                             best = m.end()
                     if best > at:
                         out.append((text_id, at, best - 1, text[at:best], sorted(ids)))
-                    at = max(best, at + 1)
             yield pd.DataFrame(out, columns=["text_id", "begin", "end", "name", "candidates"])
 
     return texts.select("text_id", F.col(text_col).alias("__text")).mapInPandas(run, f"text_id {kind}, begin int, end int, name string, candidates array<string>")

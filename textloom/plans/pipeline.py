@@ -147,7 +147,7 @@ def disambiguate(scores: Callable[[DataFrame], DataFrame], features: tuple[str,
 
 
 def additional(s: State) -> State:
-    return s.with_(mentions=filters.run_named(s.mentions, list(s.config.additional_filters)))
+    return s.with_(mentions=filters.run_named(s.mentions, list(s.config.additional_filters), genes=s.genes, texts=s.texts, threshold=s.config.alignment_threshold))
 
 
 def keep(s: State) -> State:

@@ -706,10 +706,10 @@ def tag_sentences(spark, sf_dir):
     """All sentences of the documents through the chain: tokens and mentions of each text."""
     s = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.naive_sentences(F.col("text"))).alias("k", "s"))
     words = F.array_remove(F.split("s", r"\s+"), "")
-    s = s.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("k").cast("string")).alias("sent_id"), F.transform(words, lambda w: F.array(F.concat(F.lit("W="), F.lower(w)), F.when(w.rlike("^[A-Z]"), "CAP").otherwise("LOW"))).alias("features"))
+    s = s.select(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("k").cast("string")).alias("sent_id"), F.transform(words, lambda w: F.array(F.concat(F.lit("W="), F.lower(w)), F.when(w.rlike("^[A-Z]"), "CAP").otherwise("LOW"))).alias("features"))
     model = {"states": ["O", "B", "I"], "weights": {"CAP": [0, 2, 0], "LOW": [1, 0, 0.5]}, "transitions": [[0.5, 0, -9], [0, -1, 0.8], [0.2, 0, 0.1]], "start": [0, 0, -9]}
     tags = tagger.decode(s, model)
-    per = tags.select(F.substring_index("sent_id", ":", 1).cast("long").alias("doc_id"), F.size("tags").alias("n"), F.size(F.filter("tags", lambda x: x == "B")).alias("b"))
+    per = tags.select(F.substring_index("sent_id", ":", 1).try_cast("long").alias("doc_id"), F.size("tags").alias("n"), F.size(F.filter("tags", lambda x: x == "B")).alias("b"))
     return per.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("n").alias("n_tokens"), F.sum("b").alias("n_mentions"))
 
 

@@ -34,9 +34,14 @@ def plain_files(spark: SparkSession, path: str) -> DataFrame:
     return _texts(files, text_id=name, id_type=F.lit("FILE"), source_type=F.lit("PLAIN"), title=F.get(lines, F.lit(0)), plain=F.array_join(lines, " "), pmid=_pmid(name))
 
 
-def xml_files_stripped(spark: SparkSession, path: str) -> DataFrame:
-    """Any XML file as one text, tags stripped line by line."""
-    files = spark.read.text(path, wholetext=True).select("value", _file_name().alias("file"))
+#: File names of citation records and sets of them.
+CITATIONS = r"\.medlines?\.xml$|^medline.*n.*\.xml"
+
+
+def xml_files_stripped(spark: SparkSession, path: str, but: str | None = None) -> DataFrame:
+    """Any XML file as one text, tags stripped line by line; files whose name matches ``but`` are left out."""
+    files = spark.read.text(path, wholetext=True)
+    files = (files.where(~F.col("_metadata.file_name").rlike(but)) if but else files).select("value", _file_name().alias("file"))
     lines = F.filter(F.transform(F.split("value", r"\R+"), lambda x: F.trim(F.regexp_replace(strip_tag_pairs(F.trim(x)), "<[^>]*>", ""))), lambda x: x != "")
     name = F.regexp_replace("file", r"\.[^.]*$", "")
     return _texts(files, text_id=name, id_type=F.lit("FILE"), source_type=F.lit("XML"), title=F.get(lines, F.lit(0)), plain=F.array_join(lines, " "), xml=F.col("value"), pmid=_pmid(name))
@@ -76,7 +81,8 @@ def medline_sets(spark: SparkSession, path: str) -> DataFrame:
         # in article sets the older tag is a part of each record, closed inside it
         cut = cut if tag == "PubmedArticle" else cut.where(~F.contains("x", F.lit("<PubmedArticle")))
         found = cut if found is None else found.unionByName(cut)
-    return _record_texts(found, F.col("x")).dropDuplicates(["text_id"])
+    # of records with one id the one whose XML sorts last, so that reruns agree
+    return last_wins(_record_texts(found, F.col("x")), "xml")
 
 
 def directory(spark: SparkSession, path: str) -> DataFrame:
@@ -86,6 +92,7 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
         ("*.medline.xml", medline_files),
         ("*.medlines.xml", medline_sets),
         ("medline*n*.xml*", medline_sets),
+        ("*.xml", lambda spark, path: xml_files_stripped(spark, path, but=CITATIONS)),
     )
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     out = None

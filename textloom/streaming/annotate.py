@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from textloom.functions.text import bind
 from textloom.operators import match
 from textloom.plans.pipeline import Config, State, annotate
 
@@ -43,9 +44,14 @@ def match_stream(stream: DataFrame, dictionary: DataFrame, path: str, checkpoint
 
 
 def request_fields(query: Column) -> Column:
-    """key=value&... -> a map with lower-case keys and decoded values."""
+    """key=value&... -> a map with lower-case keys and decoded values; of a key given twice the last value counts."""
     decoded = F.transform(F.split(query, "&"), lambda p: F.struct(F.lower(F.substring_index(p, "=", 1)).alias("k"), F.url_decode(F.when(F.contains(p, F.lit("=")), F.substr(p, F.locate("=", p) + 1)).otherwise("")).alias("v")))
-    return F.map_from_entries(F.array_distinct(decoded))
+
+    def last_of_each(pairs: Column) -> Column:
+        later = lambda i, x: F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"])
+        return F.map_from_entries(F.filter(pairs, lambda x, i: ~later(i, x)))
+
+    return bind(decoded, last_of_each)
 
 
 def request_blocks(line: Column) -> Column:
