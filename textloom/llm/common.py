@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: ASCII white space as the operators understand it.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -16,11 +21,14 @@ WORD = rf"[^{SPACE}]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local tests) a temporary folder is made and kept
-    in the session's configuration.
+    Only where the session names none and all of Spark is one process (tests) a temporary
+    folder is made and kept in the session's configuration; on a cluster that is an error.
     """
     set_in = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_in:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_in = tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", set_in)
     return set_in.rstrip("/")
@@ -55,10 +63,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of a batch handed to Python, so that long texts fit in memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows. Spark bounds a batch by bytes; this bounds what becomes Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores behind it until it is none of ``taken`` (in any case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 #: Slices of a hot key. The small per-slice count table has at most this many rows a key.
@@ -73,17 +90,17 @@ def ranks_within(df: DataFrame, keys: list[str], order: list[str], salt: Column,
     number, then ``order``, which must name enough columns that only identical rows tie.
     ``df`` is read twice and should be materialised.
     """
-    cut = df.withColumn("__salt", salt.cast("int"))
-    counts = cut.groupBy(*keys, "__salt").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy(*keys).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(*[F.col(k).alias(f"__b_{k}") for k in keys], F.col("__salt").alias("__b_salt"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
-    within = Window.partitionBy(*keys, "__salt").orderBy(*order)
+    # the keys as one struct: its fields compare null-safely, so the join keeps the window's partitioning and order
+    cut = df.withColumn("__k", F.struct(*keys)).withColumn("__salt", salt.cast("int"))
+    counts = cut.groupBy("__k", "__salt").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("__k").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("__k", "__salt", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__k", "__salt").orderBy(*order)
     ranked = cut.withColumn("__in", F.row_number().over(within) - 1)
-    on = [ranked[k].eqNullSafe(base[f"__b_{k}"]) for k in keys] + [ranked["__salt"] == base["__b_salt"]]
-    return ranked.join(base, on).withColumn(rank, F.col("__base") + F.col("__in")).drop("__salt", "__in", "__base", "__b_salt", *[f"__b_{k}" for k in keys])
+    return ranked.join(base.hint("merge"), ["__k", "__salt"]).withColumn(rank, F.col("__base") + F.col("__in")).drop("__k", "__salt", "__in", "__base")
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(src, dst) of links between long ids -> (node, root): the smallest id reachable.
 
     Alternates large-star and small-star steps, each one aggregation and one join over the
@@ -94,7 +111,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both = edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).where("hi <> lo").distinct()
     state = materialise(both, "links")
     fingerprint = None
-    for _ in range(rounds):
+    while True:
         sides = state.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(state.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         low = sides.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("mu"), F.least("u", "m").alias("m"))
         large = sides.where("v > u").join(low, F.col("u") == F.col("mu")).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
@@ -107,7 +124,5 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if tuple(now) == fingerprint:
             break
         fingerprint = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
     roots = state.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("node"), "root")
     return roots.unionByName(state.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
