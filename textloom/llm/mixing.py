@@ -23,9 +23,8 @@ SEED = 42
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 REPEATS = 2
-#: Widest remainder that the dynamic programme works over, and most lengths it uses.
+#: Single documents cut the remainder down to this many words where any of them fits.
 REACH = 1 << 16
-KINDS = 512
 
 
 def word_count(text: Column) -> Column:
@@ -60,10 +59,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come nearest to ``budget`` from below.
 
-    First the same share of every length, rounded down, which leaves a remainder of about the
-    lengths' sum at most; single documents from the longest down cut it to ``REACH``; then a
-    bounded-knapsack programme over bit sets, with counts split in powers of two, picks the
-    remainder. Nothing here grows with the number of documents.
+    First the same share of every length, rounded down; single documents from the longest down
+    cut what is left to ``REACH`` words or to fewer than any of them has beyond half of that;
+    then a bounded-knapsack programme over bit sets, with counts split in powers of two, fits
+    the remainder exactly from all lengths that are left, or as nearly from below as they can.
+    Nothing here grows with the number of documents.
     """
     take = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
@@ -80,21 +80,18 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         if n > 0:
             take[i] += n
             rest -= n * int(lengths[i])
-    free = [i for i in np.argsort(lengths, kind="stable") if 0 < lengths[i] <= rest and counts[i] > take[i]]
-    # short lengths first: they make the finest steps
-    mask = (1 << (rest + 1)) - 1 if rest <= REACH else (1 << (REACH + 1)) - 1
-    reach, steps = 1, []
-    goal = min(rest, REACH)
-    for i in free[:KINDS]:
-        n, k = min(int(counts[i] - take[i]), goal // int(lengths[i])), 1
-        while n > 0:
+    # short lengths first: they make the finest steps; a step that reaches nothing new is not kept
+    mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
+    for i in np.argsort(lengths, kind="stable"):
+        n, k = min(int(counts[i] - take[i]), rest // int(lengths[i])) if lengths[i] else 0, 1
+        while n > 0 and not reach >> rest & 1:
             own = min(k, n)
             n -= own
             k *= 2
-            steps.append((i, own, reach))
-            reach |= (reach << own * int(lengths[i])) & mask
-        if reach >> goal & 1:
-            break
+            wider = reach | (reach << own * int(lengths[i])) & mask
+            if wider != reach:
+                steps.append((i, own, reach))
+                reach = wider
     at = (reach & mask).bit_length() - 1
     for i, own, before in reversed(steps):
         if not before >> at & 1:
@@ -108,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
 
     Reruns agree: the choice hangs on the seed and the row's values alone. Null texts have
     size 0 and are taken with 0 words; a null source is a source of its own, weighed last.
-    Repeated rows are separate candidates; ``row`` tells texts and sources of one doc_id apart. Extra columns are left out. Empty table: no rows.
+    Long texts are counted whole. Repeated rows are separate candidates; ``row`` tells texts and sources of one doc_id apart. Extra columns are left out. Empty table: no rows.
     """
     rows = docs.select("doc_id", "source", word_count(F.col(text_col)).alias("size"), row_of(text_col).alias("row")).withColumn("pick", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("size")))
     rows = common.materialise(rows, "sizes")
