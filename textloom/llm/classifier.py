@@ -13,7 +13,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import common
@@ -21,6 +21,8 @@ from textloom.llm import common
 BITS = 18
 #: Bound of the training sample: labelled rows of the smallest hashes.
 SAMPLE = 20_000
+#: Bound of its bytes: different features of all rows together, at 8 bytes each.
+FEATURES = 20_000_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 0.1, 0.02, 0.5
 #: A feature's share is small; this brings sums to the scale of a logit.
@@ -41,7 +43,7 @@ class Features:
 
     def _learn(self, word: str) -> int:
         # the upper half is the word's own hash, the lower half its shape's
-        form = word[:64]
+        form = word
         for pattern, kind in self.shape:
             form = pattern.sub(kind, form)
         return (self.digest(word.lower().encode("utf-8", "surrogatepass"), 1) >> 32) << 32 | self.digest(form.encode("utf-8", "surrogatepass"), 2) >> 32
@@ -87,13 +89,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS, bits: int = BITS, text_col: str = "text", label_col: str = "quality") -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS, bits: int = BITS, most: int = FEATURES, text_col: str = "text", label_col: str = "quality") -> np.ndarray:
     """Weights (2**bits and a bias) from labelled rows that are not held out, at most ``sample`` of them.
 
-    Features are made in parallel; one task then streams them, epoch by epoch in a seeded order.
-    Only the non-zero weights come back, at most 2**bits of them. No rows: all weights zero.
+    Features are made in parallel; one task then holds those rows of the sample, in the order of
+    their hashes, that have ``most`` different features between them, and goes through them epoch
+    by epoch in seeded orders. Only the non-zero weights come back, at most 2**bits of them. No
+    rows: all weights zero. Of labels that differ for one doc_id the larger counts.
     """
-    common.arrow_rows(docs.sparkSession)
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~F.coalesce(held_out(), F.lit(False))).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     chosen = usable.withColumn("turn", F.xxhash64(F.lit(SEED), "doc_id")).orderBy("turn", "doc_id").limit(sample)
     chosen = common.materialise(chosen.withColumnRenamed("doc_id", "__id"), "labelled")
@@ -101,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits)
-        for batch in batches:
+        for batch in common.slices(batches):
             at, share = [], []
             for text in batch.column(2).to_pylist():
                 keys = features.of(text)
@@ -112,13 +115,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
 
     ready = rows.select("turn", "label", "text").mapInArrow(featurise, "turn long, label int, at array<int>, share array<float>")
     ready = common.materialise(ready, "training-rows")
-    order = ready.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).withColumn("place", F.xxhash64("epoch", "turn")).repartition(1).sortWithinPartitions("epoch", "place", "label")
+    so_far = Window.orderBy("turn", "label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fit_in = ready.select("turn", "label", F.sum(F.size("at")).over(so_far).alias("held")).where(F.col("held") <= most)  # `sample` rows of numbers
+    last = fit_in.agg(F.max(F.struct("turn", "label"))).first()[0]
+    held = ready.where("false") if last is None else ready.where(F.struct("turn", "label") <= F.struct(F.lit(last["turn"]), F.lit(last["label"])))
+    order = held.repartition(1).sortWithinPartitions("turn", "label")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ftrl(1 << bits)
-        for batch in batches:
-            for label, at, share in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                model.learn(at.values.to_numpy().astype(np.int64), share.values.to_numpy().astype(float), label)
+        held = [(label, at.values.to_numpy(), share.values.to_numpy()) for batch in batches for label, at, share in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True)]
+        for epoch in range(epochs):
+            for k in np.random.default_rng((SEED, epoch)).permutation(len(held)):
+                label, at, share = held[k]
+                model.learn(at.astype(np.int64), share.astype(float), label)
         w = model.weights().astype(np.float32)
         used = np.flatnonzero(w).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array([used.tobytes()]), pa.array([w[used].tobytes()])], names=["at", "weight"])
@@ -131,14 +140,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
 
 def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row; a null or blank text gets the bias alone."""
-    common.arrow_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**bits floats
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, w = Features(bits), shared.value
         bias = float(w[-1])
-        for batch in batches:
+        for batch in common.slices(batches):
             logits = np.full(batch.num_rows, bias)
             for k, text in enumerate(batch.column(1).to_pylist()):
                 keys = features.of(text)
@@ -154,7 +162,8 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Train on the labelled rows that are not held out, then score every row of ``docs``.
 
     Labels, language, source and ids are no inputs of a score. Repeated rows are scored each; a
-    null doc_id is never held out nor labelled; extra columns are left out. Without labelled rows
-    every score is 0.5. An empty table gives no rows.
+    null doc_id is never held out nor labelled; extra columns are left out. Long texts are read
+    whole, and their score is a mean over all features. Without labelled rows every score is 0.5.
+    An empty table gives no rows.
     """
     return score(docs, train(docs, labels, **options))
