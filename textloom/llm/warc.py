@@ -24,8 +24,9 @@ CRLF = "\r\n"
 CLOSE = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-#: Transactions of one file; readers hold one file at a time.
+#: Transactions of one file, and the bytes of a payload up to which that many may share one; readers hold a file at a time.
 FILE_RECORDS = 4000
+SMALL = 1 << 16
 
 RECORD = (
     "record_id string, type string, target_uri string, concurrent_to string, refers_to string, date string, "
@@ -64,7 +65,7 @@ def with_types(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def transactions(typed: DataFrame, date: str = DATE) -> DataFrame:
-    """value: the three records of each page, without the last one's closing lines."""
+    """value: the three records of each page, without the last one's closing lines; serial, digest, payload_bytes."""
 
     def record(kind: Column | str, record_id: Column, fields: list[Column], content_type: str, block: Column) -> Column:
         head = [F.lit("WARC/1.1" + CRLF + "WARC-Type: "), F.lit(kind) if isinstance(kind, str) else kind, F.lit(CRLF + "WARC-Record-ID: "), record_id, F.lit(CRLF + f"WARC-Date: {date}" + CRLF), *fields]
@@ -97,20 +98,37 @@ def transactions(typed: DataFrame, date: str = DATE) -> DataFrame:
         F.lit(CLOSE),
         record("metadata", urn("metadata", F.col("page_id"), F.col("serial")), [*shared, field("WARC-Concurrent-To", F.col("request_id"))], "application/json", about),
     )
-    return rows.select(value.alias("value"))
+    return rows.select(value.alias("value"), "serial", "digest", "payload_bytes")
 
 
-def write(pages: DataFrame, path: str, least: int = 0, date: str = DATE, file_records: int = FILE_RECORDS) -> None:
-    """Write ``pages`` (page_id, url, html) as gzipped WARC files under ``path``."""
-    out = transactions(with_types(pages, least), date)
-    out.write.option("lineSep", CLOSE).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+def write(pages: DataFrame, path: str, least: int = 0, date: str = DATE, file_records: int = FILE_RECORDS, small: int = SMALL) -> None:
+    """Write ``pages`` (page_id, url, html) as gzipped WARC files under ``path``.
+
+    A file holds ``file_records`` transactions with payloads of ``small`` bytes at most. Larger
+    ones are dealt by hash into folders of their own, a few to each, the fewer the larger they
+    are, so that a file stays at about as many bytes.
+    """
+    typed = with_types(pages, least)
+    large = pages.select(F.octet_length("html").alias("b")).where(F.col("b") > small)
+    weigh = F.greatest(F.lit(1.0), F.lit(float(file_records)) * F.lit(small) / F.col("b"))  # transactions of that size to a file
+    parts = large.agg(F.ceil(F.sum(1 / weigh) * 2)).first()[0] or 0
+    if parts:
+        part = F.when(F.col("payload_bytes") > small, 1 + F.pmod(F.xxhash64("serial", "digest"), F.lit(parts))).otherwise(0)
+        out = transactions(typed, date).withColumn("part", part).select("value", "part").write.partitionBy("part")
+    else:
+        out = transactions(typed, date).select("value").write
+    out.option("lineSep", CLOSE).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
     spark = pages.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = to_path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.listStatus(folder):  # names only; one for each file
-        name = status.getPath().getName()
+    files = fs.listFiles(folder, True)
+    names = []
+    while files.hasNext():  # names only; one for each file
+        names.append(files.next().getPath().toString())
+    for name in names:
         if name.endswith(".txt.gz"):
-            fs.rename(status.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name[: -len('.txt.gz')]}.warc.gz"))
+            fs.rename(to_path(name), to_path(name.removesuffix(".txt.gz") + ".warc.gz"))
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -141,8 +159,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
     ``block`` is the payload of a response and the whole block of others; with ``payload``
     false it is left out for responses, which keeps later shuffles small.
     """
-    common.arrow_rows(spark, 1)  # a row is a whole file
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").option("recursiveFileLookup", "true").load(path).select("content")
     schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("target_uri", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("http_status", pa.int32()), ("payload_bytes", pa.int64()), ("stored_digest", pa.string()), ("stored_bytes", pa.int64()), ("block", pa.string())])
 
     def row(headers: dict[str, str], block: bytes) -> dict:
@@ -203,15 +220,14 @@ def captures(pages: DataFrame, path: str | None = None, least: int = 0, payload:
     Null html is the empty payload; a null url is written as about:blank and comes back null.
     A null page_id comes back null and holds a payload only if no other page has it. Rows that
     repeat the smallest page_id of a payload are all responses. Extra columns are not archived.
+    Long payloads go whole, in files of few transactions. An empty table gives no rows.
     """
     spark = pages.sparkSession
     path = path or common.new_path(spark, "warc")
     write(pages, path, least)
-    rows_before = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     rows = assemble(read_records(spark, path, payload))
     about = F.from_json(F.col("metadata.block"), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string")
     rows = common.materialise(rows.withColumn("about", about), "captures")
-    common.arrow_rows(spark, rows_before)  # a batch of one row is for whole files alone
     holders = rows.where(F.col("response.type") == "response").select(F.col("response.record_id").alias("holder"), F.col("about.page_id").alias("refers_to")).dropDuplicates(["holder"])
     joined = rows.join(holders, F.col("response.refers_to") == F.col("holder"), "left")
     return joined.select(
