@@ -157,6 +157,15 @@ def test_budget_is_hit_exactly():
         assert 0 <= budget - int((take * lengths).sum()) <= int(lengths.min())
 
 
+def test_budget_is_fitted_from_all_lengths():
+    # the two long ones that fit lie beyond 512 shorter lengths, whose sums are all odd in tens
+    lengths = np.array([2 * k + 100_000 for k in range(600)] + [70_001])
+    counts = np.ones(len(lengths), np.int64)
+    take = mixing.fit_budget(lengths, counts, 171_199)
+    assert int((take * lengths).sum()) == 171_199
+    assert int((mixing.fit_budget(np.array([40_000]), np.array([3]), 80_000) * 40_000).sum()) == 80_000
+
+
 def test_mixed_documents_repeat(spark, edge):
     docs = edge.where("doc_id is not null").dropDuplicates(["doc_id"])
     plan = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
@@ -395,9 +404,9 @@ def test_quality_drops_junk_and_keeps_prose(spark):
 # ---- lines
 
 
-@pytest.mark.parametrize("batches", [1, 3, 7])
-def test_line_dedup(edge, edge_rows, batches):
-    out = lines.dedup_lines(edge, batches=batches)
+@pytest.mark.parametrize(("size", "fan_out"), [(1, 2), (2, 3), (100, 2)])
+def test_line_dedup(edge, edge_rows, size, fan_out):
+    out = lines.dedup_lines(edge, first=size, fan_out=fan_out)
     assert out.columns[: len(edge.columns)] == edge.columns
     first = {}
     key = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x).translate(LOW)
@@ -417,12 +426,43 @@ def test_line_dedup_empty(empty):
     assert lines.dedup_lines(empty).collect() == []
 
 
+def test_line_dedup_compacts_and_reads_runs_as_they_lie(spark, monkeypatch):
+    plans, stores = [], []
+    held = lines.LineRuns.marked
+
+    def marked(self, hashes):
+        out = held(self, hashes)
+        if any(self.levels):
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+        stores.append(self)
+        return out
+
+    monkeypatch.setattr(lines.LineRuns, "marked", marked)
+    docs = make(spark, [(k, f"a line of its own {k}\na line of every {k % 7}", "en", "a") for k in range(200)])
+    out = lines.dedup_lines(docs, first=10).agg(F.sum("n_dropped"), F.sum("n_lines")).first()
+    assert tuple(out) == (193, 400)
+    assert len(plans) >= 4 and stores[0].compactions >= 3
+    # below the exchanges that deal the batch there is the run's branch: neither dealt nor sorted anew
+    for plan in plans:
+        run = plan.rsplit("Exchange", 1)[1]
+        assert "SortMergeJoin" in plan and run.count("Bucketed: true") >= 1 and not re.search(r"\bSort \[", run)
+
+
 def test_runs_compact(spark):
     store = lines.LineRuns(spark, fan_out=2)
     for k in range(5):
-        store.add(spark.range(k * 10, k * 10 + 10).selectExpr("id AS h1", "id AS h2"))
-    assert [len(x) for x in store.levels] == [1, 0, 1]
-    assert store.runs().count() == 50
+        fresh = store.add(spark.range(k * 10 - 5, k * 10 + 10).selectExpr("id AS h1", "id AS h2"))
+        assert fresh.where("old").count() == (5 if k else 0)
+    assert [len(x) for x in store.levels] == [1, 0, 1] and store.compactions == 3
+    assert sum(spark.table(n).count() for level in store.levels for n, _ in level) == 55
+    store.drop()
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith("textloom_run")]
+
+
+def test_line_dedup_keeps_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(1, "some line of text", 99, 98), (2, "some line of text", 97, 96)], "doc_id long, text string, n_lines int, N_dropped int")
+    out = {r["doc_id"]: r for r in lines.dedup_lines(docs).collect()}
+    assert [out[2][c] for c in ("text", "n_lines", "N_dropped", "n_lines_", "n_dropped_")] == ["", 97, 96, 1, 1]
 
 
 def test_every_language_has_a_reference(spark):
@@ -488,6 +528,48 @@ def test_classifier_learns_and_never_reads_held_out(spark):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
 
 
+def slow_ftrl(rows, size, alpha, beta, l1, l2):
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (1 if z[i] > 0 else -1) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for values, label in rows:
+        x = {**values, size: 1.0}
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + 2.718281828459045 ** -sum(w[i] * v for i, v in x.items()))
+        for i, v in x.items():
+            g = (p - label) * v
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+            n[i] += g * g
+    return [weight(i) for i in range(size + 1)]
+
+
+def test_ftrl_and_scores_match_slow_versions(spark):
+    rng = np.random.default_rng(2)
+    rows = [({int(i): float(rng.random()) for i in rng.choice(20, 5, replace=False)}, int(rng.integers(0, 2))) for _ in range(200)]
+    model = classifier.Ftrl(20, 0.5, 0.1, 0.02, 0.5)
+    for values, label in rows:
+        model.learn(np.array(list(values)), np.array(list(values.values())), label)
+    weights = slow_ftrl(rows, 20, 0.5, 0.1, 0.02, 0.5)
+    assert np.allclose(model.weights(), weights) and any(weights)
+    texts = ["One two One", "", None, "ÉÀ x9 " + "long" * 300_000, "two"]
+    w = rng.random((1 << 10) + 1).astype(np.float32)
+    got = {r["doc_id"]: r["score"] for r in classifier.score(make(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]), w, bits=10).collect()}
+    for k, text in enumerate(texts):
+        keys = classifier.Features(10).of(text)
+        logit = float(w[-1]) + (classifier.SCALE * sum(float(w[i]) for i in keys) / len(keys) if len(keys) else 0.0)
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-logit)))
+    # the end of a long word counts too
+    a, b = (classifier.Features(18).of("w" * 70 + tail) for tail in ("a", "9"))
+    assert a.tolist() != b.tolist()
+
+
+def test_training_sample_is_bounded_by_features(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    assert not classifier.train(docs, labels, most=1).any() and classifier.train(docs, labels, most=50_000).any()
+
+
 def test_classifier_without_labels(spark, edge, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in classifier.classify(edge, none).collect()} == {0.5}

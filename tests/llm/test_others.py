@@ -37,12 +37,22 @@ def test_warc_round_trip(spark):
         assert r["response"]["payload_digest"] == r["payload_digest"]
         if r["record_type"] == "response":
             assert base64.b32encode(hashlib.sha1(r["response"]["block"].encode()).digest()).decode() == r["payload_digest"]
-    files = list(Path(path).glob("*.warc.gz"))
+    files = list(Path(path).rglob("*.warc.gz"))
     assert files
     records = [h for f in files for h, _ in warc.parse(io.BufferedReader(gzip.open(f)))]
     assert len(records) == 3 * len(rows)
 
 
+def test_warc_large_payloads_go_to_files_of_few(spark):
+    rows = [(k, "http://a", f"{k}" * (3000 if k % 4 == 0 else 3)) for k in range(60)]
+    pages = spark.createDataFrame([(*r, "d", 1) for r in rows], PAGES).coalesce(1)
+    path = common.new_path(spark, "warc-large")
+    warc.write(pages, path, file_records=20, small=1000)
+    sizes = [[len(b) for _, b in warc.parse(io.BufferedReader(gzip.open(f)))] for f in Path(path).rglob("*.warc.gz")]
+    assert sum(map(len, sizes)) == 180 and max(len(x) for x in sizes) == 60 and all(sum(n > 2000 for n in x) <= 8 for x in sizes)
+    assert len(warc.captures(pages, payload=True).where("length(response.block) > 2000").collect()) == 15
+
+
 def test_warc_small_payloads_are_responses(spark):
     pages = spark.createDataFrame([(1, "http://a", "abc", "d", 1), (2, "http://a", "abc", "d", 1)], PAGES)
     assert {r["record_type"] for r in warc.captures(pages, least=4).collect()} == {"response"}

@@ -145,14 +145,13 @@ def encoded_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: in
     A document is its ids and then ``end``; only documents over ``capacity`` are cut.
     Null and empty texts are the single id ``end``. Other columns are not carried.
     """
-    common.arrow_rows(docs.sparkSession, 256)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
         close = np.asarray([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in common.slices(batches, 256):
             keys, part, start, length, crc, ids = [], [], [], [], [], []
             for key, raw in zip(batch.column(0).to_pylist(), encoder.batch(batch.column(1).to_pylist()), strict=True):
                 raw += close
