@@ -473,30 +473,62 @@ def test_every_language_has_a_reference(spark):
 # ---- substrings
 
 
-def brute_spans(rows, min_words=20):
-    cut = re.compile(substrings.CUTS["sentence"])
-    seen, out = {}, set()
-    for i, text, *_ in sorted({r for r in rows}, key=lambda r: (r[0] is None, r[0] or 0)):
-        us = list(substrings.cut_units(text or "", cut))
-        flags = []
-        for u in us:
-            flags.append(u[2] in seen)
-            seen.setdefault(u[2], i)
+def slow_units(text, unit):
+    """(begin, end, number of its first word, words, normal form), by looking at each word alone."""
+    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    groups = []
+    for k, (a, b) in enumerate(spans):
+        word, between = text[a:b], text[spans[k - 1][1] : a] if k else ""
+        starts = k == 0 or "\n" in between
+        if unit == "part" and k:
+            rare = zlib.crc32(word.lower().strip(".,;:!?'\"()[]-").encode()) % 12 == 0
+            starts = starts or text[spans[k - 1][1] - 1] in ".!?" or bool(re.match("[A-ZÀ-ÖØ-Þ]", word)) or rare
+        if starts:
+            groups.append([])
+        groups[-1].append(k)
+    return [(spans[g[0]][0], spans[g[-1]][1], g[0], len(g), " ".join(text[slice(*spans[k])].lower() for k in g).strip(".,;:!?'\"()[]- ")) for g in groups]
+
+
+def brute_spans(rows, unit, min_words=20):
+    held = sorted({r[:2] for r in rows}, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    keys = {}  # what is digested -> documents that hold it
+    texts = [(i, slow_units(t or "", unit)) for i, t in held]
+    items = lambda us: [(k, 1, us[k][4]) for k in range(len(us)) if us[k][4].count(" ") + 1 >= min_words] + [(k, 2, (us[k][4], us[k + 1][4])) for k in range(len(us) - 1) if us[k][4] or us[k + 1][4]]
+    for i, us in texts:
+        for _, _, key in items(us):
+            keys.setdefault(key, set()).add(i)
+    out = set()
+    for i, us in texts:
+        marked, met = set(), set()
+        for k, n, key in sorted(items(us)):
+            earlier = any(j is not None and (i is None or j < i) for j in keys[key])
+            if earlier or key in met:
+                marked.update(range(k, k + n))
+            met.add(key)
         k = 0
         while k < len(us):
             j = k
-            while j < len(us) and flags[j]:
+            while j in marked:
                 j += 1
-            if j > k and sum(u[3] for u in us[k:j]) >= min_words:
+            if j > k and us[j - 1][2] + us[j - 1][4].count(" ") + 1 - us[k][2] >= min_words:
                 out.add((i, us[k][0], us[j - 1][1]))
             k = max(j, k + 1)
     return out
 
 
-def test_substrings_match_brute_force(edge, edge_rows, empty):
-    got = {(r["rank"], r["begin"], r["end"]) for r in substrings.repeated_spans(edge).collect()}
-    assert got == brute_spans(edge_rows)
-    assert (12, 0, len(edge_rows[-1][1])) in got
+@pytest.mark.parametrize("unit", ["line", "part"])
+def test_substrings_match_brute_force(edge, edge_rows, empty, spark, unit):
+    got = {(r["rank"], r["begin"], r["end"]) for r in substrings.repeated_spans(edge, unit).collect()}
+    assert got == brute_spans(edge_rows, unit)
+    rng = np.random.default_rng(8)
+    shared = [" ".join(rng.choice(["of", "the", "River", "stone.", "(mill)", "grün", "a", "sand,", "x1", "--"], 70)) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        own = [" ".join(f"w{k}" for k in rng.integers(0, 4000, 25)) for _ in range(3)]
+        parts = [own[0], shared[rng.integers(0, 4)][rng.integers(0, 40) :], own[1], shared[rng.integers(0, 4)], own[2]]
+        rows.append((i // 2 if i % 9 else None, str(rng.choice(["\n", " ", "\n\n "])).join(parts), "en", "a"))
+    got = {(r["rank"], r["begin"], r["end"]) for r in substrings.repeated_spans(make(spark, rows), unit).collect()}
+    assert got == brute_spans(rows, unit) and got
     assert substrings.remove_repeats(empty).collect() == []
 
 
