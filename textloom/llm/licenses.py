@@ -1,21 +1,22 @@
 """License scan by ordered signature rules behind a keyword prefilter.
 
-A text's words are joined in lower case; one alternation of all keywords decides whether any
-rule can match. For the texts that pass, each keyword is looked up once, only the rules of
-keywords found are run, and detections inside another of the same or a better tier are
-suppressed in one sweep over their sorted intervals.
+A text's words are joined in lower case; plain look-ups of all keywords decide whether any rule
+can match. For the texts that pass, only the rules of keywords found are run, and detections
+inside another of the same or a better tier are suppressed in one sweep over their sorted
+intervals.
 
 DataFrame operations only.
 """
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.license_rules import RULES
+from textloom.llm.license_rules import INSIDE, RULES
 from textloom.llm.quality_rules import bind
 
 #: Places where these words stand in a row: label, words.
@@ -48,76 +49,88 @@ def phrase_starts(words: Column, phrase: tuple[str, ...]) -> Column:
     return bind(F.struct(words.alias("w"), numbers.alias("i")), at)
 
 
+KIND = "array<struct<start:int,end:int,tier:int,rule:int,label:string>>"
+
+
+def gate_text(keyword: str) -> str:
+    """What a text must hold for a rule of the keyword: it begins a word, unless it may stand inside one."""
+    return keyword if keyword in INSIDE else f" {keyword}"
+
+
 def detections(joined: Column, rules: list[tuple[str, int, str, str]] = RULES) -> Column:
-    """array<struct<start, end, tier, label>>: what the rules find in joined words, in character places.
+    """array<struct<start, end, tier, rule, label>>: what the rules find in joined words, in character places.
 
-    A rule's places follow from the pieces between its matches and the matches themselves.
+    The rules are one literal table, grouped by keyword, of which the groups are kept whose
+    keyword the text holds. One search a rule marks its matches; their places follow from the
+    lengths of the pieces between the marks.
     """
-    by_keyword: dict[str, list[tuple[str, int, str]]] = {}
-    for label, tier, keyword, pattern in rules:
+    by_keyword: dict[str, list[Column]] = {}
+    for number, (label, tier, keyword, pattern) in enumerate(rules):
         # the space before stays out of the match, so that matches side by side are both found
-        by_keyword.setdefault(keyword, []).append((label, tier, f"(?<= )(?:{pattern})(?= )"))
-    struct = lambda label, tier, pattern: F.struct(F.lit(label).alias("label"), F.lit(tier).alias("tier"), F.lit(pattern).alias("pattern"))
-    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*[struct(*r) for r in own]).alias("rules")) for k, own in by_keyword.items()])
+        rule = F.struct(F.lit(f"(?<= )(?:{pattern})(?= )").alias("pattern"), F.lit(tier).alias("tier"), F.lit(number).alias("rule"), F.lit(label).alias("label"))
+        by_keyword.setdefault(keyword, []).append(rule)
+    table = F.array(*[F.struct(F.lit(gate_text(k)).alias("keyword"), F.array(*own).alias("rules")) for k, own in by_keyword.items()])
     live = F.flatten(F.transform(F.filter(table, lambda k: F.contains(joined, k["keyword"])), lambda k: k["rules"]))
+    none = F.array().cast(KIND)
 
     def places(rule: Column) -> Column:
-        hits = F.regexp_extract_all(joined, rule["pattern"], F.lit(0))
-        gaps = F.split(joined, rule["pattern"], -1)
+        pieces = F.split(F.regexp_replace(joined, rule["pattern"], F.lit("\u0001$0\u0001")), "\u0001", -1)
 
         def sweep(v: Column) -> Column:
-            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,tier:int,label:string>>").alias("found"))
+            start = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
             def step(s: Column, k: Column) -> Column:
-                first = s["at"] + F.length(F.get(v["gaps"], k))
-                end = first + F.length(F.get(v["hits"], k))
-                one = F.struct(first.alias("start"), end.alias("end"), v["tier"].alias("tier"), v["label"].alias("label"))
+                first = s["at"] + F.length(F.get(v["p"], 2 * k))
+                end = first + F.length(F.get(v["p"], 2 * k + 1))
+                one = F.struct(first.alias("start"), end.alias("end"), v["tier"].alias("tier"), v["rule"].alias("rule"), v["label"].alias("label"))
                 return F.struct(end.alias("at"), F.concat(s["found"], F.array(one)).alias("found"))
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(v["hits"]) - 1), start, step, lambda s: s["found"])
+            return F.aggregate(F.sequence(F.lit(0), (F.size(v["p"]) / 2).cast("int") - 1), start, step, lambda s: s["found"])
 
-        none = F.array().cast("array<struct<start:int,end:int,tier:int,label:string>>")
-        return bind(F.struct(hits.alias("hits"), gaps.alias("gaps"), rule["tier"].alias("tier"), rule["label"].alias("label")), lambda v: F.when(F.size(v["hits"]) > 0, sweep(v)).otherwise(none))
+        return bind(F.struct(pieces.alias("p"), *[rule[c].alias(c) for c in ("tier", "rule", "label")]), lambda v: F.when(F.size(v["p"]) > 1, sweep(v)).otherwise(none))
 
     return F.flatten(F.transform(live, places))
 
 
 def unsuppressed(found: Column) -> Column:
-    """Detections that lie inside no other of the same or a better tier; of equal ones the better, then smaller label.
+    """Detections that lie inside no other of the same or a better tier; of equal ones the better tier's, then that of the rule that comes first.
 
     Sorted by start, then longest first, a detection is inside an earlier one exactly if the
     furthest end so far, over the tiers up to its own, reaches its end.
     """
-    order = F.transform(F.sort_array(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), d["tier"].alias("tier"), d["label"].alias("label")))), lambda d: F.struct(d["start"].alias("start"), (-d["back"]).alias("end"), d["tier"].alias("tier"), d["label"].alias("label")))
-    kind = "array<struct<start:int,end:int,tier:int,label:string>>"
-    start = F.struct(F.lit(-1).alias("e0"), F.lit(-1).alias("e1"), F.lit(-1).alias("e2"), F.array().cast(kind).alias("kept"))
+    keyed = F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), d["tier"].alias("tier"), d["rule"].alias("rule"), d["label"].alias("label")))
+    start = F.struct(F.lit(-1).alias("e0"), F.lit(-1).alias("e1"), F.lit(-1).alias("e2"), F.array().cast(KIND).alias("kept"))
 
     def step(s: Column, d: Column) -> Column:
+        stop = -d["back"]
         reach = F.when(d["tier"] == 0, s["e0"]).when(d["tier"] == 1, F.greatest(s["e0"], s["e1"])).otherwise(F.greatest(s["e0"], s["e1"], s["e2"]))
-        end = lambda t: F.when(d["tier"] == t, F.greatest(s[f"e{t}"], d["end"])).otherwise(s[f"e{t}"])
-        kept = F.when(reach >= d["end"], s["kept"]).otherwise(F.concat(s["kept"], F.array(d)))
+        end = lambda t: F.when(d["tier"] == t, F.greatest(s[f"e{t}"], stop)).otherwise(s[f"e{t}"])
+        one = F.struct(d["start"].alias("start"), stop.alias("end"), d["tier"].alias("tier"), d["rule"].alias("rule"), d["label"].alias("label"))
+        kept = F.when(reach >= stop, s["kept"]).otherwise(F.concat(s["kept"], F.array(one)))
         return F.struct(end(0).alias("e0"), end(1).alias("e1"), end(2).alias("e2"), kept.alias("kept"))
 
-    return F.aggregate(order, start, step, lambda s: s["kept"])
+    return F.aggregate(F.sort_array(keyed), start, step, lambda s: s["kept"])
 
 
 def scan(docs: DataFrame, text_col: str = "text", rules: list[tuple[str, int, str, str]] = RULES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, found (the detections).
 
     A null or empty text has no words, no labels and the score 0. Whole texts are scanned, row
-    by row, with no shuffle; repeated rows are scanned each and extra columns are left out.
+    by row, with no shuffle; repeated rows are scanned each and extra columns are left out. Long
+    texts are scanned whole; an empty table gives no rows.
     ``found`` holds character places in the joined words. Score: the best tier's confidence.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select("doc_id", words_of(text).alias("words"))
     rows = rows.withColumn("joined", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
-    keywords = sorted({r[2] for r in rules}, key=len)
-    short = [k for k in keywords if not any(o != k and o in k for o in keywords)]
+    keywords = {gate_text(k) for *_, k, _ in rules}
+    # of keywords that hold one another the shortest decides
+    gates = sorted(k for k in keywords if not any(o != k and o in k for o in keywords))
     none = F.array().cast("array<int>")
     starts = [F.when(F.contains("joined", F.lit(" " + " ".join(p) + " ")), phrase_starts(F.col("words"), p)).otherwise(none) for _, p in BASE]
     rows = rows.withColumns({f"at{k}": s for k, s in enumerate(starts)})
-    empty = F.array().cast("array<struct<start:int,end:int,tier:int,label:string>>")
-    gate = F.col("joined").rlike("|".join(re.escape(k).replace(r"\ ", " ") for k in short))
+    empty = F.array().cast(KIND)
+    gate = reduce(or_, [F.contains("joined", F.lit(k)) for k in gates])
     rows = rows.withColumn("all_found", F.when(gate, detections(F.col("joined"), rules)).otherwise(empty))
     rows = rows.withColumn("found", F.when(F.size("all_found") > 0, unsuppressed(F.col("all_found"))).otherwise(empty))
     places = F.concat(*[F.col(f"at{k}") for k in range(len(BASE))])
