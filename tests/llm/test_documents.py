@@ -238,7 +238,7 @@ def test_bit_planes_count_distances():
     block = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
     block[50:] = block[:150] ^ (np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64))
     planes = simhash.planes_of(block, list(range(64)))
-    for radius in (0, 1, 2):
+    for radius in (0, 1, 2, 3, 6, 7, 20):
         for q in (0, 60, 199):
             got = simhash.within_radius(planes, [bool(int(block[q]) >> j & 1) for j in range(64)], (1 << 200) - 1, radius)
             assert got == sum(1 << k for k in range(200) if (int(block[k]) ^ int(block[q])).bit_count() <= radius)

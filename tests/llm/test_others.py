@@ -115,8 +115,41 @@ def test_vector_recall_on_a_dense_cluster():
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     truth = unit @ unit.T >= 0.98
     np.fill_diagonal(truth, False)
-    found = vectors.links_of(vectors.Graph(unit), unit, 0.98, own=True)
-    assert not (found & ~truth).any() and found.sum() >= 0.99 * truth.sum()
+    graph = vectors.Graph(unit)
+    found, wanted, got = vectors.links_of(graph, unit, 0.98, own=True)
+    assert not (found & ~truth).any() and found.sum() >= 0.99 * truth.sum() and 0.99 * wanted <= got <= wanted
+    # the same graph from its arrays, queried by other vectors
+    again = vectors.Graph.stored(unit, graph.near.astype(np.int32), graph.upper(), graph.entry)
+    for k in (0, 299, 450):
+        assert sorted(again.within(unit[k], 0.98, 24, 0.02)) == sorted(graph.within(unit[k], 0.98, 24, 0.02))
+
+
+def test_vector_links_across_shards_of_production_size():
+    rng = np.random.default_rng(7)
+    near = rng.normal(size=(600, 64))
+    sides = [np.concatenate([near + rng.normal(size=near.shape) * 0.05, rng.normal(size=(1448, 64))]) for _ in range(2)]
+    mine, theirs = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in sides)
+    truth = mine @ theirs.T >= 0.98
+    found, wanted, got = vectors.links_of(vectors.Graph(theirs), mine, 0.98, own=False)
+    assert truth.sum() >= 600 and not (found & ~truth).any() and found.sum() >= 0.99 * truth.sum() and got >= 0.99 * wanted > 0
+
+
+def test_vectors_that_no_graph_finds_are_compared_as_a_whole():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 16))
+    x[200:] = x[:200] + rng.normal(size=(200, 16)) * 0.01
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    truth = unit @ unit.T >= 0.98
+    np.fill_diagonal(truth, False)
+    lost = vectors.Graph(unit)
+    lost.within = lambda *_, **__: np.zeros(0, np.int64)
+    assert (vectors.links_of(lost, unit, 0.98, own=True)[0] == truth).all()
+    # few links: the audit has looked at every query by then
+    few = np.concatenate([unit[:100], unit[200:205]])
+    near = few @ few.T >= 0.98
+    np.fill_diagonal(near, False)
+    lost.unit = few
+    assert (vectors.links_of(lost, few, 0.98, own=True)[0] == near).all() and near.any()
 
 
 def test_components_of_a_path(spark):
@@ -146,11 +179,12 @@ def test_stages_keep_the_columns(spark, edge, sf):
 def test_pipeline_against_its_stages(spark, sf):
     from textloom.llm import lines, mixing, packing, quality_rules, simhash
 
+    near = {"words": 5, "similarity": 0.8}
     docs = common.table(spark, sf, "documents")
     good = {r["doc_id"] for r in quality_rules.judge(docs).where("kept").collect()}
     docs = docs.where(F.col("doc_id").isin(list(good)))
     docs = spark.createDataFrame(lines.dedup_lines(docs).select(*docs.columns).collect(), docs.schema)
-    first = {r["doc_id"] for r in simhash.near_duplicates(docs).collect() if r["doc_id"] == r["component_id"]}
+    first = {r["doc_id"] for r in simhash.near_duplicates(docs, **near).collect() if r["doc_id"] == r["component_id"]}
     docs = docs.where(F.col("doc_id").isin(list(first)))
     taken = {r["doc_id"]: 1 if not r["size"] else r["taken"] // r["size"] for r in mixing.mix(docs).collect()}
     out = corpus_pipeline.run(spark, sf).toPandas()

@@ -3,14 +3,15 @@
 Equal vectors are one class. The classes of a label are dealt into shards of bounded size,
 each with a graph of its own; every shard is queried with every class of its label. A query
 walks down the layers, beams through the lowest one, and spreads on from there through all
-vectors near the threshold. An audit holds a fixed sample of each task's queries against
-brute force and widens beam and spread until the sample's links are found. Every link is
-verified by its cosine in double precision.
+vectors near the threshold. An audit holds a sample of each task's linked queries against brute
+force and widens beam and spread until their links are found; a task that fails, or has too few
+links to audit, is compared as a whole. Every link is verified by its cosine in double precision.
 """
 
 from __future__ import annotations
 
 import heapq
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,9 @@ LINKS = 12
 BUILD_BEAM = 48
 BEAM = 24
 SLACK = 0.02
-AUDIT = 64
-#: The audit passes at this share of the sample's links.
+#: Linked queries that an audit holds against brute force, and the queries it looks among at first.
+AUDIT, LOOK = 16, 64
+#: The audit passes at this mean recall of its linked queries.
 RECALL = 0.995
 SEED = 42
 
@@ -126,6 +128,26 @@ class Graph:
         if level > self.top:
             self.top, self.entry = level, i
 
+    def upper(self) -> np.ndarray:
+        """The layers above the lowest as rows of (layer, node, neighbours, filled up with the node)."""
+        rows = [[layer, i, *own, *[i] * (self.m - len(own))] for layer, links in enumerate(self.layers) if layer for i, own in links.items()]
+        return np.asarray(rows, np.int32).reshape(-1, self.m + 2)
+
+    @classmethod
+    def stored(cls, unit: np.ndarray, near: np.ndarray, upper: np.ndarray, entry: int, links: int = LINKS) -> Graph:
+        """A graph again from its arrays: the lowest layer's neighbours and ``upper``."""
+        graph = cls.__new__(cls)
+        graph.unit, graph.entry, graph.m, graph.seen, graph.tick = unit, entry, links, [0] * len(unit), 0
+        graph.near = near.reshape(len(unit), -1)
+        upper = upper.reshape(-1, links + 2)
+        graph.top = int(upper[:, 0].max(initial=0))
+        graph.layers = [{} for _ in range(graph.top + 1)]
+        for i, own in enumerate(graph.near.tolist()):
+            graph.layers[0][i] = [k for k in own if k != i]
+        for layer, i, *own in upper.tolist():
+            graph.layers[layer][i] = [k for k in own if k != i]
+        return graph
+
     def within(self, q: np.ndarray, threshold: float, beam: int, slack: float, start: int | None = None) -> np.ndarray:
         """Indices of the vectors found at ``threshold`` or above."""
         if start is None:
@@ -150,28 +172,52 @@ class Graph:
         return np.concatenate(hits)
 
 
-def links_of(graph: Graph, queries: np.ndarray, threshold: float, own: bool, audit: int = AUDIT, recall: float = RECALL) -> np.ndarray:
-    """Boolean matrix queries x vectors of the links found; widened until the audit passes.
+def links_of(graph: Graph, queries: np.ndarray, threshold: float, own: bool, audit: int = AUDIT, recall: float = RECALL) -> tuple[np.ndarray, int, int]:
+    """Boolean matrix queries x vectors of the links found, and the audit: true links of its sample, and those found.
 
-    At the widest the spread goes through the whole graph whatever the similarity.
+    The sample grows until ``audit`` of its queries have links besides themselves; beam and spread
+    widen until the mean recall of these queries passes. A task without that many linked queries
+    has been compared as a whole by then, and one that fails at the widest is: both take the exact
+    links.
     """
     n = len(queries)
-    sample = np.unique(np.linspace(0, n - 1, min(n, audit)).astype(int))
-    truth = queries[sample] @ graph.unit.T >= threshold
+
+    def exact(rows: np.ndarray) -> np.ndarray:
+        found = queries[rows] @ graph.unit.T >= threshold
+        if own:
+            found[np.arange(len(rows)), rows] = False
+        return found
+
+    order = np.random.default_rng(SEED).permutation(n)
+    sample, truth = order[:0], np.zeros((0, len(graph.unit)), bool)
+    while len(sample) < n and np.count_nonzero(truth.any(axis=1)) < audit:
+        more = order[len(sample) : max(2 * len(sample), LOOK)]
+        sample, truth = np.concatenate([sample, more]), np.concatenate([truth, exact(more)])
+    linked = np.flatnonzero(truth.any(axis=1))
+    if len(sample) == n:
+        out = np.zeros_like(truth)
+        out[sample] = truth
+        return out, int(truth.sum()), int(truth.sum())
     beam, slack = BEAM, SLACK
     run = lambda k: graph.within(queries[k], threshold, beam, slack, int(k) if own else None)
     while slack < 2.5:
-        found = sum(int(truth[a][run(k)].sum()) for a, k in enumerate(sample))
-        if found >= recall * truth.sum():
+        found = [int(truth[a][run(sample[a])].sum()) for a in linked[: 4 * LOOK]]
+        wanted = truth[linked[: 4 * LOOK]].sum(axis=1)
+        if (found / wanted).mean() >= recall:
             break
         beam, slack = 2 * beam, 2 * slack
+    else:
+        return np.concatenate([exact(np.arange(k, min(k + 512, n))) for k in range(0, n, 512)]), int(wanted.sum()), int(wanted.sum())
     out = np.zeros((n, len(graph.unit)), bool)
     for k in range(n):
         out[k, run(k)] = True
     if own:
         out |= out.T
         np.fill_diagonal(out, False)
-    return out
+    out[sample] |= truth
+    if own:
+        out |= out.T
+    return out, int(wanted.sum()), int(sum(found))
 
 
 def forest(links: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -215,13 +261,18 @@ def summed(links: np.ndarray, rows: tuple[np.ndarray, np.ndarray], columns: tupl
     return pd.concat([counts, pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1], "links": 0})])[["a", "b", "links"]].astype("int64")
 
 
+def audited(wanted: int, got: int) -> pd.DataFrame:
+    """An audit as a row of the reports: b is -2."""
+    return pd.DataFrame({"a": [wanted], "b": [-2], "links": [got]}, dtype="int64")
+
+
 def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``rows`` (vec_id, embedding, label).
 
     Rows are compared only within a label that is not null. A vector that is null, empty, zero or
     holds a null or non-finite component links with nothing and is its own component; so are
     vectors of another length than the others. Rows that repeat a vector, or a whole row, are
-    other vectors with links. A null vec_id names a component only if it has no other.
+    other vectors with links. Ties have no say: every pair at the threshold is linked. A null vec_id names a component only if it has no other.
     Extra columns are left out; an empty table gives no rows.
     """
     spark = rows.sparkSession
@@ -245,47 +296,35 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, shard: int = SHA
         unit = unit_of(np.stack(pdf["v"].to_numpy()).astype(float))
         graph = Graph(unit)
         ids, n = pdf["cid"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-        out = summed(links_of(graph, unit, threshold, own=True), (ids, n), None)
-        out = out.assign(label=pdf["label"].iloc[0], dim=pdf["dim"].iloc[0], shard=pdf["shard"].iloc[0], ids=None, n=None, unit=None, near=None, entry=-1)
+        links, wanted, got = links_of(graph, unit, threshold, own=True)
+        out = pd.concat([summed(links, (ids, n), None), audited(wanted, got)]).assign(label=pdf["label"].iloc[0], dim=pdf["dim"].iloc[0], shard=pdf["shard"].iloc[0], ids=None, n=None, unit=None, near=None, upper=None, entry=-1)
         if pdf["shards"].iloc[0] > 1:  # other shards are queried later: store the graph
-            row = {"a": -1, "b": -1, "links": -1, "label": pdf["label"].iloc[0], "dim": pdf["dim"].iloc[0], "shard": pdf["shard"].iloc[0], "ids": ids.tobytes(), "n": n.tobytes(), "unit": unit.tobytes(), "near": pack(graph), "entry": graph.entry}
+            row = {"a": -1, "b": -1, "links": -1, "label": pdf["label"].iloc[0], "dim": pdf["dim"].iloc[0], "shard": pdf["shard"].iloc[0], "ids": ids.tobytes(), "n": n.tobytes(), "unit": unit.tobytes(), "near": graph.near.astype(np.int32).tobytes(), "upper": graph.upper().tobytes(), "entry": graph.entry}
             out = pd.concat([out, pd.DataFrame([row])])
         return out
 
-    def pack(graph: Graph) -> bytes:
-        import pickle
-
-        return pickle.dumps((graph.layers, graph.near, graph.top, graph.m))
-
-    def unpack(unit: np.ndarray, near: bytes, entry: int) -> Graph:
-        import pickle
-
-        graph = Graph.__new__(Graph)
-        graph.unit, graph.entry, graph.seen, graph.tick = unit, entry, [0] * len(unit), 0
-        graph.layers, graph.near, graph.top, graph.m = pickle.loads(near)  # written by build() of this job
-        return graph
-
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             for r in batch.to_pylist():
                 mine, theirs = (np.frombuffer(r[f"unit{k}"]).reshape(-1, r["dim"]) for k in "12")
-                graph = unpack(theirs, r["near2"], r["entry2"])
+                graph = Graph.stored(theirs, np.frombuffer(r["near2"], np.int32), np.frombuffer(r["upper2"], np.int32), r["entry2"])
                 own, other = ((np.frombuffer(r[f"ids{k}"], np.int64), np.frombuffer(r[f"n{k}"], np.int64)) for k in "12")
-                out = summed(links_of(graph, mine, threshold, own=False), own, other)
+                links, wanted, got = links_of(graph, mine, threshold, own=False)
+                out = pd.concat([summed(links, own, other), audited(wanted, got)])
                 yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
-    common.arrow_rows(spark, 10_000)
-    built = common.materialise(dealt.groupBy("label", "dim", "shard").applyInPandas(build, f"a long, b long, links long, label {label}, dim int, shard long, ids binary, n binary, unit binary, near binary, entry long"), "graphs")
+    built = common.materialise(dealt.groupBy("label", "dim", "shard").applyInPandas(build, f"a long, b long, links long, label {label}, dim int, shard long, ids binary, n binary, unit binary, near binary, upper binary, entry long"), "graphs")
     stored = built.where("links < 0")
     left = stored.select("label", "dim", F.col("shard").alias("s1"), F.col("ids").alias("ids1"), F.col("n").alias("n1"), F.col("unit").alias("unit1"))
-    right = stored.select(F.col("label").alias("l2"), F.col("dim").alias("d2"), F.col("shard").alias("s2"), F.col("ids").alias("ids2"), F.col("n").alias("n2"), F.col("unit").alias("unit2"), F.col("near").alias("near2"), F.col("entry").alias("entry2"))
+    right = stored.select(F.col("label").alias("l2"), F.col("dim").alias("d2"), F.col("shard").alias("s2"), F.col("ids").alias("ids2"), F.col("n").alias("n2"), F.col("unit").alias("unit2"), F.col("near").alias("near2"), F.col("upper").alias("upper2"), F.col("entry").alias("entry2"))
     # shard against shard, in blocks; a row is a pair of shards and is dealt to a task of its own
-    pairs = left.join(right, (F.col("label") == F.col("l2")) & (F.col("dim") == F.col("d2")) & (F.col("s1") < F.col("s2"))).select("dim", "s1", "s2", "ids1", "n1", "unit1", "ids2", "n2", "unit2", "near2", "entry2")
-    common.arrow_rows(spark, 1)
+    pairs = left.join(right, (F.col("label") == F.col("l2")) & (F.col("dim") == F.col("d2")) & (F.col("s1") < F.col("s2"))).select("dim", "s1", "s2", "ids1", "n1", "unit1", "ids2", "n2", "unit2", "near2", "upper2", "entry2")
     crossed = common.materialise(pairs.repartition("dim", "s1", "s2", F.xxhash64("ids1")).mapInArrow(across, "a long, b long, links long"), "crossed")
-    common.arrow_rows(spark, 10_000)
     reports = built.where("links >= 0").select("a", "b", "links").unionByName(crossed)
-    counts = reports.where("b < 0").groupBy(F.col("a").alias("cid2")).agg(F.sum("links").alias("links"))
+    seen = reports.where("b = -2").agg(F.sum("a").alias("wanted"), F.sum("links").alias("got")).first()
+    if seen["wanted"]:
+        logging.getLogger(__name__).info("audits found %d of %d links", seen["got"], seen["wanted"])
+    counts = reports.where("b = -1").groupBy(F.col("a").alias("cid2")).agg(F.sum("links").alias("links"))
     roots = common.connected_components(reports.where("b >= 0").select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "cid3")
     joined = classes.select("cid", "h1", "h2", "least", "n").join(counts, F.col("cid") == F.col("cid2"), "left").join(roots, F.col("cid") == F.col("cid3"), "left").withColumn("root", F.coalesce("root", "cid"))
     joined = common.materialise(joined.select("h1", "h2", "root", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "linked")
