@@ -1,8 +1,11 @@
-"""Near-dedup by the Jaccard similarity of word shingles.
-
-Bands of MinHash values name candidates: at a similarity of 0.8 a pair shares none of 40 bands
-of 6 values with a chance of 5 in a million, at higher ones with less. Candidates are then
-joined by exact comparison of their shingle sets, so nothing under the threshold is linked.
+"""SimHash near-dedup at a similarity of shingle sets.
+
+A similarity of 0.8 lies some ten of 64 bits apart, beyond what tables of quarters find, so the
+buckets are named by bands of least hash values of the set: at 0.8 a pair shares none of 24
+bands of 5 values with a chance of 7 in 100,000, at higher ones with less. In a bucket the
+fingerprints of the sets are compared bit-sliced, as in ``simhash``, at a radius that a pair at
+0.8 exceeds with a chance of 2 in 10,000. What that joins is then compared by the shingle sets
+themselves, so nothing under the threshold is linked.
 """
 
 from __future__ import annotations
@@ -14,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm import common
+from textloom.llm import common, simhash
 
 SEED = 42
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 24, 5
+#: Bits of 64 within which fingerprints are candidates.
+RADIUS = 20
 #: Shingles of a group that one task compares; larger groups go block against block.
 BLOCK = 1 << 19
 
@@ -52,24 +57,33 @@ def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: in
     return [xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(bands, rows))]
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The set's fingerprint as a signed number: bit j is set where over half of the hashes have it."""
+    if not len(hashes):
+        return 0
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def signatures(docs: DataFrame, words: int = SHINGLE, text_col: str = "text") -> DataFrame:
-    """doc_id, row (tells texts of one doc_id apart), fp (digest of the set, zero if empty), n (shingles), keys (of the bands)."""
+    """doc_id, row (tells texts of one doc_id apart), fp (digest of the set, zero if empty), bits (its fingerprint), n (shingles), keys (of the bands)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in common.slices(batches):
-            fp, n, keys = [], [], []
+            fp, bits, n, keys = [], [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingle_set(text, words)
                 fp.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63) if len(own) else 0)
+                bits.append(majority(own))
                 n.append(len(own))
                 keys.append(band_keys(own))
-            columns = [batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "fp", "n", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(bits, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "fp", "bits", "n", "keys"])
 
-    return docs.select("doc_id", F.xxhash64(text_col).alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, row long, fp long, n long, keys array<long>")
+    return docs.select("doc_id", F.xxhash64(text_col).alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, row long, fp long, bits long, n long, keys array<long>")
 
 
 def stars(sets: list[np.ndarray], similarity: float = SIMILARITY) -> Iterator[tuple[int, int]]:
@@ -95,13 +109,10 @@ def stars(sets: list[np.ndarray], similarity: float = SIMILARITY) -> Iterator[tu
                 yield root, int(k)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Classes (fp, keys) -> (node, root): groups of what shares bands, over any number of steps."""
-    rows = classes.select("fp", F.explode("keys").alias("key"))
-    least = rows.groupBy("key").agg(F.min("fp").alias("src"), F.max("fp").alias("most")).where("src < most").select(F.col("key").alias("k2"), "src")
-    least = common.materialise(least, "shared-bands")
-    links = rows.join(least, F.col("key") == F.col("k2")).select("src", F.col("fp").alias("dst"))
-    return common.connected_components(links)
+def candidates(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Classes (fp, bits, keys) -> (node, root): groups of what lies within the radius in a bucket, over any number of steps."""
+    rows = classes.select(F.col("fp").alias("node"), F.col("bits").alias("fp"), F.posexplode("keys").alias("t", "key"))
+    return common.connected_components(simhash.link_buckets(rows, [list(range(64))] * BANDS, radius))
 
 
 def link_sets(members: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -141,7 +152,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
     """
     rows = common.materialise(signatures(docs, words, text_col), "sets")
     one = F.min(F.struct(F.xxhash64(F.lit(7), "doc_id").alias("id"), "row")).alias("one")
-    classes = common.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), one, F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    classes = common.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), one, F.first("bits").alias("bits"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
     near = candidates(classes).select(F.col("node").alias("fp"), F.col("root").alias("g"))
     wanted = classes.join(near, "fp").select("fp", "g", "n", F.col("one.id").alias("id"), F.col("one.row").alias("row"))
     texts = docs.select(F.xxhash64(F.lit(7), "doc_id").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("string").alias("text"))

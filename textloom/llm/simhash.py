@@ -76,20 +76,34 @@ def planes_of(prints: np.ndarray, bits: list[int]) -> list[int]:
 def within_radius(planes: list[int], query: list[bool], everyone: int, radius: int = RADIUS) -> int:
     """The fingerprints at most ``radius`` bits from the query, as a bit set.
 
-    Three carry-save counters (ones, twos, fours and above) hold all distances at once.
+    Carry-save counters hold all distances at once: counter k holds bit k of every distance,
+    and the last one what has overflowed. Once every distance is over the radius the block is
+    given up.
     """
-    ones = twos = fours = 0
+    counters = [0] * radius.bit_length()
+    over = 0
     for plane, bit in zip(planes, query, strict=True):
-        off = plane ^ everyone if bit else plane
-        carry = ones & off
-        ones ^= off
-        over = twos & carry
-        twos ^= carry
-        fours |= over
-        beyond = fours | (ones & twos if radius == 2 else twos if radius == 1 else ones | twos if radius == 0 else 0)
-        if beyond == everyone:
+        carry = plane ^ everyone if bit else plane
+        for k, counter in enumerate(counters):
+            counters[k], carry = counter ^ carry, counter & carry
+            if not carry:
+                break
+        over |= carry
+        if over == everyone or bit_greater(counters, radius, everyone) | over == everyone:
             return 0
-    return everyone & ~beyond
+    return everyone & ~(bit_greater(counters, radius, everyone) | over)
+
+
+def bit_greater(counters: list[int], bound: int, everyone: int) -> int:
+    """Where the numbers held bit by bit are greater than ``bound``."""
+    greater, equal = 0, everyone
+    for k in range(len(counters) - 1, -1, -1):
+        if bound >> k & 1:
+            equal &= counters[k]
+        else:
+            greater |= equal & counters[k]
+            equal &= ~counters[k]
+    return greater
 
 
 def stars(prints: np.ndarray, bits: list[int], radius: int = RADIUS) -> Iterator[tuple[int, int]]:
@@ -117,35 +131,40 @@ def stars(prints: np.ndarray, bits: list[int], radius: int = RADIUS) -> Iterator
 
 
 def link_fingerprints(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (src, dst) that connect what lies within the radius.
-
-    The links of a bucket are a forest, never all pairs. A bucket over ``block`` fingerprints
-    is dealt into blocks that are compared two by two, each pair a task of its own.
-    """
+    """Distinct fingerprints (fp) -> links (src, dst) that connect what lies within the radius, by tables of quarters."""
     if not 0 <= radius <= 2:
         raise ValueError("four quarters find distances up to 2")
     quarter = [F.shiftrightunsigned(F.col("fp"), 16 * q).bitwiseAND(F.lit(0xFFFF)) for q in range(4)]
     keys = F.array(*[F.struct(F.lit(t).alias("t"), (F.shiftleft(quarter[a], 16) + quarter[b]).alias("key")) for t, (a, b) in enumerate(QUARTERS)])
-    rows = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
+    rows = prints.select(F.col("fp").alias("node"), "fp", F.explode(keys).alias("k")).select("node", "fp", "k.t", "k.key")
+    return link_buckets(rows, [[j for j in range(64) if j // 16 not in pair] for pair in QUARTERS], radius, block)
+
+
+def link_buckets(rows: DataFrame, bits: list[list[int]], radius: int, block: int = BLOCK) -> DataFrame:
+    """Rows (t, key, node, fp) of buckets -> links (src, dst) of nodes that connect what lies within the radius in a bucket.
+
+    ``bits`` are those in which fingerprints of a bucket of table t may differ. The links of a
+    bucket are a forest, never all pairs. A bucket over ``block`` fingerprints is dealt into
+    blocks that are compared two by two, each pair a task of its own.
+    """
     # buckets of one fingerprint have nothing to compare
     sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     held = rows.join(sizes.withColumnsRenamed({"t": "t2", "key": "k2"}), (F.col("t") == F.col("t2")) & (F.col("key") == F.col("k2")))
     n_blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    held = held.select("t", "key", "fp", n_blocks.alias("nb")).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
-    paired = held.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("t", "key", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "fp")
+    held = held.select("t", "key", "node", "fp", n_blocks.alias("nb")).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    paired = held.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("t", "key", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "node", "fp")
     dealt = paired.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
-    free_bits = [[j for j in range(64) if j // 16 not in pair] for pair in QUARTERS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(group: list[np.ndarray], t: int) -> list[np.ndarray]:
-            own = np.concatenate(group).view(np.uint64)
-            found = np.asarray(list(stars(own, free_bits[t], radius)), np.int64).reshape(-1, 2)
-            return own.view(np.int64)[found]
+            own = np.concatenate(group)
+            found = np.asarray(list(stars(np.ascontiguousarray(own[:, 1]).view(np.uint64), bits[t], radius)), np.int64).reshape(-1, 2)
+            return own[:, 0][found]
 
         last, group = None, []
         for batch in batches:
             head = np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1)
-            values = batch.column(4).to_numpy()
+            values = np.stack([batch.column(k).to_numpy() for k in (4, 5)], axis=1)
             cuts = np.flatnonzero((head[1:] != head[:-1]).any(axis=1)) + 1
             out = []
             for lo, hi in zip([0, *cuts], [*cuts, len(values)], strict=True):
@@ -162,18 +181,24 @@ def link_fingerprints(prints: DataFrame, radius: int = RADIUS, block: int = BLOC
         if len(group) and sum(map(len, group)) > 1 and len(flat := links(group, int(last[0]))):
             yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["src", "dst"])
 
-    ordered = dealt.select(F.col("t").cast("long"), F.col("key").cast("long"), F.col("lo").cast("long"), F.col("hi").cast("long"), "fp")
+    ordered = dealt.select(F.col("t").cast("long"), F.col("key").cast("long"), F.col("lo").cast("long"), F.col("hi").cast("long"), "node", "fp")
     return ordered.mapInArrow(run, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """doc_id, row, fp, root, component_id: the smallest doc_id reachable over links of at most ``radius`` bits.
 
+    With a ``similarity`` links are pairs whose shingle sets are that alike, see ``shingles``.
+
     Equal fingerprints are one class and are linked without being compared; a null, empty or
     blank text has the fingerprint zero, linked like any other. Null doc_ids belong to their
     class and never name it unless it has no other; ``root`` (a fingerprint) tells such classes apart. Repeated rows come out as often as they
-    came in; extra columns are left out; an empty table gives no rows.
+    came in; extra columns are left out; an empty table gives no rows. Long texts are read whole.
     """
+    if similarity is not None:
+        from textloom.llm import shingles
+
+        return shingles.near_duplicates(docs, words, similarity, text_col)
     rows = common.materialise(fingerprints(docs, words, seed, text_col), "prints")
     classes = common.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = common.materialise(common.connected_components(link_fingerprints(classes.select("fp"), radius)), "roots")
