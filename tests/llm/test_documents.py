@@ -492,7 +492,7 @@ def slow_units(text, unit):
         word, between = text[a:b], text[spans[k - 1][1] : a] if k else ""
         starts = k == 0 or "\n" in between
         if unit == "part" and k:
-            rare = zlib.crc32(word.lower().strip(".,;:!?'\"()[]-").encode()) % 12 == 0
+            rare = zlib.crc32(word.lower().strip(".,;:!?'\"()[]-").encode()) % substrings.EVERY == 0
             starts = starts or text[spans[k - 1][1] - 1] in ".!?" or bool(re.match("[A-ZÀ-ÖØ-Þ]", word)) or rare
         if starts:
             groups.append([])

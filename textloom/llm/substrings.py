@@ -23,7 +23,7 @@ from textloom.llm import common
 
 MIN_WORDS = 20
 #: Parts are also cut before one word in so many.
-EVERY = 12
+EVERY = 24
 MARKS = ".,;:!?'\"()[]-"
 _CAPITAL = re.compile("[A-ZÀ-ÖØ-Þ]")
 _GAP = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n\s*\n"), "part": re.compile(r"\n")}
@@ -82,40 +82,41 @@ class Cutter:
 
 
 def units(docs: DataFrame, unit: str = "part", min_words: int = MIN_WORDS, text_col: str = "text", rank_col: str = "doc_id") -> DataFrame:
-    """rank, row, pos, units, begin, end, word, words, again, h1, h2 for every pair of neighbouring units, and every long unit, of every text.
+    """rank, row, place, span, words, h1, h2 for every pair of neighbouring units, and every long unit, of every text.
 
-    ``row`` tells texts of one rank apart; ``again`` marks digests met before in the same text.
+    ``row`` tells texts of one rank apart. Numbers share columns, two in the halves of a long, as
+    each column of a shuffled row takes eight bytes: ``span`` is begin and end, ``words`` the
+    number of the first word and of words. ``place`` is the unit's number, then a bit that says
+    pair, then one for a digest met before in the same text.
     """
     kind = docs.schema[rank_col].dataType.simpleString()
-    names = ["rank", "row", "pos", "units", "begin", "end", "word", "words", "again", "h1", "h2"]
+    names = ["rank", "row", "place", "span", "words", "h1", "h2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         cutter, digest = Cutter(unit), xxhash.xxh3_128_intdigest
         for batch in common.slices(batches):
-            places: list[int] = []
-            own: list[list] = [[] for _ in names[1:]]
-            row, *spans, again, h1, h2 = own
-            names_of = batch.column(2).to_pylist()
+            of: list[int] = []
+            place, span, words, h1, h2 = own = [[] for _ in names[2:]]
             for at, text in enumerate(batch.column(1).to_pylist()):
                 if not text:
                     continue
                 met: set[int] = set()
-                for *span, normal in cutter.digested(text, min_words):
+                for pos, n, begin, end, word, count, normal in cutter.digested(text, min_words):
                     h = digest(normal.encode("utf-8", "surrogatepass"))
-                    places.append(at)
-                    row.append(names_of[at])
-                    for column, value in zip(spans, span, strict=True):
-                        column.append(value)
-                    again.append(h in met)
+                    of.append(at)
+                    place.append(pos << 2 | (n == 2) << 1 | (h in met))
+                    span.append(begin << 32 | end)
+                    words.append(word << 32 | count)
                     h1.append((h >> 64) - (1 << 63))
                     h2.append((h & 0xFFFFFFFF) - (1 << 31))
                     met.add(h)
-            kinds = [pa.int64()] + [pa.int32()] * 6 + [pa.bool_(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int32())), *(pa.array(x, t) for x, t in zip(own, kinds, strict=True))], names=names)
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+            taken = pa.array(of, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(2).take(taken), *(pa.array(x, t) for x, t in zip(own, kinds, strict=True))], names=names)
 
-    schema = f"rank {kind}, row long, pos int, units int, begin int, end int, word int, words int, again boolean, h1 long, h2 int"
+    schema = f"rank {kind}, row long, place int, span long, words long, h1 long, h2 int"
     return docs.select(F.col(rank_col), F.col(text_col).cast("string"), F.xxhash64(text_col)).mapInArrow(run, schema)
 
 
@@ -129,15 +130,18 @@ def repeated_spans(docs: DataFrame, unit: str = "part", min_words: int = MIN_WOR
     texts, and an empty table, have no spans; long texts are cut whole.
     """
     rows = common.materialise(units(docs, unit, min_words, text_col, rank_col), "units")
-    first = rows.groupBy("h1", "h2").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.max(F.col("rank").isNull()).alias("nulls"), F.max("again").alias("inside"))
+    first = rows.groupBy("h1", "h2").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.max(F.col("rank").isNull()).alias("nulls"), F.max(F.col("place") % 2 == 1).alias("inside"))
     shared = first.where((F.col("low") < F.col("high")) | (F.col("nulls") & F.col("low").isNotNull()) | F.col("inside"))
     # a table of its own: the join is then free to split a digest of very many places over tasks
     shared = common.materialise(shared.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "low"), "shared-units")
     hit = rows.join(shared, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
-    hit = hit.where(F.col("again") | (F.col("low") < F.col("rank")) | (F.col("rank").isNull() & F.col("low").isNotNull()))
-    last, stop = (F.col("pos") + F.col("units") - 1).alias("last"), (F.col("word") + F.col("words")).alias("stop")
+    hit = hit.where((F.col("place") % 2 == 1) | (F.col("low") < F.col("rank")) | (F.col("rank").isNull() & F.col("low").isNotNull()))
     # whole repeated rows give the same units twice
-    own = hit.select("rank", "row", "pos", last, "begin", "end", "word", stop, "low").repartition("rank", "row").dropDuplicates(["rank", "row", "pos", "last"])
+    hit = hit.select("rank", "row", "place", "span", "words", "low").repartition("rank", "row").dropDuplicates(["rank", "row", "place"])
+    high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    pos = F.shiftright("place", 2)
+    last = pos + F.shiftright("place", 1) % 2
+    own = hit.select("rank", "row", pos.alias("pos"), last.alias("last"), high("span").cast("int").alias("begin"), low("span").cast("int").alias("end"), high("words").alias("word"), (high("words") + low("words")).alias("stop"), "low")
     by_place = Window.partitionBy("rank", "row").orderBy("pos", "last")
     so_far = F.max("last").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("pos") > F.col("so_far") + 1, 1).otherwise(0)).over(by_place)
