@@ -23,7 +23,7 @@ from textloom.llm import common
 
 MIN_WORDS = 20
 #: Parts are also cut before one word in so many.
-EVERY = 24
+EVERY = 48
 MARKS = ".,;:!?'\"()[]-"
 _CAPITAL = re.compile("[A-ZÀ-ÖØ-Þ]")
 _GAP = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n\s*\n"), "part": re.compile(r"\n")}
@@ -129,7 +129,7 @@ def repeated_spans(docs: DataFrame, unit: str = "part", min_words: int = MIN_WOR
     null rank comes after all others; texts that share a rank are one document. Null and empty
     texts, and an empty table, have no spans; long texts are cut whole.
     """
-    rows = common.materialise(units(docs, unit, min_words, text_col, rank_col), "units")
+    rows = common.materialise(units(docs, unit, min_words, text_col, rank_col), "units", "zstd")
     first = rows.groupBy("h1", "h2").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.max(F.col("rank").isNull()).alias("nulls"), F.max(F.col("place") % 2 == 1).alias("inside"))
     shared = first.where((F.col("low") < F.col("high")) | (F.col("nulls") & F.col("low").isNotNull()) | F.col("inside"))
     # a table of its own: the join is then free to split a digest of very many places over tasks
