@@ -76,6 +76,23 @@ def test_encoder_with_a_warm_cache_in_any_order():
             own = order[at : at + 256]
             for k, raw in zip(own, e.batch([texts[k] for k in own]), strict=True):
                 assert np.frombuffer(raw, "<u4").tolist() == wanted[k], texts[k]
+        e.shrink(1000)
+        assert len(e.cache) <= 1001
+
+
+def test_plain_words_by_the_model_alone():
+    import random
+
+    import public_tokenizers
+
+    e, t, rng = packing.WordEncoder(public_tokenizers.path(packing.TOKENIZER)), tokenizer(), random.Random(6)
+    assert e.direct
+    letters = [chr(c) for c in range(65, 0x250) if packing.plain_letters(chr(c))]
+    words = letters + ["".join(rng.choices(letters if k % 2 else letters[:52], k=rng.randint(1, 14))) + rng.choice(("", ".", ",)", "?!")) for k in range(50_000)]
+    for direct in (True, False):
+        e.direct, e.cache = direct, {"": b""}
+        for word, raw in zip(words, e.batch(words), strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == t.encode(word, add_special_tokens=False).ids, word
 
 
 @pytest.mark.parametrize("seed", range(6))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -28,7 +29,6 @@ CACHE = 400_000
 #: Marks that form one unit of their own after the letters of a word; an apostrophe may not.
 MARKS = "#$%&*!.,;:?|<>()"
 TOKENIZER = "word_bpe_49k.json"
-WORD_END = "</w>"
 #: Longer words do not stay in the cache.
 LONG = 200
 LATIN = re.compile(r"[A-Za-zÀ-\u024F]+")
@@ -53,12 +53,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # byte-level units: one letter a byte, and a mark at a word's end
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends, self.sizes = (np.zeros(self.tokenizer.get_vocab_size() + 1, kind) for kind in (bool, np.int64))
-        for unit, i in vocab.items():
-            self.ends[i] = unit.endswith(WORD_END)
-            self.sizes[i] = len(unit.removesuffix(WORD_END))
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        # a plain letter as the model sees it: a letter for each of its bytes
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = sorted({c.lower() for c in map(chr, range(ord("A"), 0x250)) if plain_letters(c)})  # some lie beyond the range
+        self.letters = {ord(c): "".join(x for x, _ in level.pre_tokenize_str(c)) for c in letters}
+        self.model = self.tokenizer.model
+        # does the model alone give what the whole tokenizer gives for plain letters?
+        probes = [*letters, "".join(letters)]
+        self.direct = dict(self._whole(probes)) == dict(self._by_model(probes))
         self.cache: dict[str, bytes] = {"": b""}
         self.limit = cache
 
@@ -66,20 +70,11 @@ class WordEncoder:
         for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             yield word, np.asarray(got.ids, "<u4").tobytes()
 
-    def _joined(self, bases: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of words of plain letters, encoded as one text.
-
-        Each is one unit and closes with an id of a word's end; the bytes that the ids up to there
-        stand for must be the word's own, or all go through the tokenizer one by one.
-        """
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(bases)], add_special_tokens=False)[0].ids, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        sizes = np.cumsum([len(b.encode()) for b in bases])
-        if len(stops) != len(bases) or (np.cumsum(self.sizes[ids])[stops - 1] != sizes).any():
-            yield from self._whole(bases)
-            return
-        raw, places = ids.tobytes(), (4 * stops).tolist()
-        yield from zip(bases, (raw[a:b] for a, b in zip([0, *places], places, strict=False)), strict=True)
+    def _by_model(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words of plain lower-case letters: each is one unit that no step before the model changes."""
+        tokenize, letters = self.model.tokenize, self.letters
+        for word in words:
+            yield word, array("I", [t.id for t in tokenize(word if word.isascii() else word.translate(letters))]).tobytes()
 
     def _learn(self, words: Iterable[str]) -> None:
         """Ids of ``words`` into the cache; they do not hang on what it holds already.
@@ -106,23 +101,34 @@ class WordEncoder:
                     whole.add(mark)
         known.update(self._whole(list(whole)))
         if new:
-            known.update(self._joined(list(new)))
+            known.update((self._by_model if self.direct else self._whole)(list(new)))
         for word, low, mark in parts:
             known[word] = known[low] + known[mark] if mark else known[low]
 
+    def shrink(self, words: int) -> None:
+        """Forget all but ``words`` words; those met early are the frequent ones."""
+        self.cache = {"": b""} | dict(islice(self.cache.items(), words))
+
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null text has none."""
-        if len(self.cache) > self.limit:  # words met early are the frequent ones
-            self.cache = {"": b""} | dict(islice(self.cache.items(), self.limit // 2))
-        words = [(text or "").replace("\n", " ").split(" ") for text in texts]
-        found: set[str] = set()
-        for own in words:
-            found.update(own)
-        if new := found - self.cache.keys():
-            self._learn(new)
+        if len(self.cache) > self.limit:
+            self.shrink(self.limit // 2)
         ids = self.cache
-        for own in words:
-            yield b"".join([ids[w] for w in own])
+        rows: list[tuple[list, list[int], list[str]]] = []
+        new: set[str] = set()
+        for text in texts:
+            words = (text or "").replace("\n", " ").split(" ")
+            got = list(map(ids.get, words))
+            gaps = [k for k, x in enumerate(got) if x is None]
+            missing = [words[k] for k in gaps]
+            new.update(missing)
+            rows.append((got, gaps, missing))
+        if new:
+            self._learn(new)
+        for got, gaps, missing in rows:
+            for k, word in zip(gaps, missing, strict=True):
+                got[k] = ids[word]
+            yield b"".join(got)
         for word in new:
             if len(word) > LONG:  # text without spaces would fill the cache with bytes
                 del ids[word]
