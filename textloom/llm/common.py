@@ -70,6 +70,17 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def release_memory() -> None:
+    """Give memory that Arrow and the allocator hold unused back to the system, at the end of a task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
 def free_name(name: str, taken: Iterable[str]) -> str:
     """``name``, with underscores behind it until it is none of ``taken`` (in any case)."""
     low = {t.lower() for t in taken}

@@ -26,6 +26,8 @@ from textloom.llm import common
 CAPACITY = 4096
 END = 1
 CACHE = 400_000
+#: Words that stay in the cache between tasks.
+KEPT = 50_000
 #: Marks that form one unit of their own after the letters of a word; an apostrophe may not.
 MARKS = "#$%&*!.,;:?|<>()"
 TOKENIZER = "word_bpe_49k.json"
@@ -176,6 +178,9 @@ def encoded_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: in
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        # the worker outlives its task beside whatever runs next
+        encoder.shrink(KEPT)
+        common.release_memory()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
