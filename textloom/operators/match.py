@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -43,37 +46,98 @@ def token_table(texts: DataFrame, text_col: str = "plain") -> DataFrame:
     return rows.select("text_id", "pos", F.col("t.token").alias("token"), (reach - F.length("t.token")).cast("int").alias("begin"), (reach - 1).cast("int").alias("end"))
 
 
-def token_grams(texts: DataFrame, lengths: list[int], text_col: str = "plain") -> DataFrame:
+#: n-grams that leave Python at once, so that a task's memory follows neither a batch's rows nor a text's length.
+GRAMS_AT_ONCE = 8192
+#: Bits of the largest sieve (16 MB); with more names than that it lets more n-grams through to the join.
+SIEVE_BITS = 1 << 27
+
+
+def key_sieve(dictionary: DataFrame, n_names: int) -> bytes:
+    """A table of bits, set at the CRC-32 of every key and of every key's first token.
+
+    What it lacks is no name; what it has is settled by the join with the dictionary.
+    """
+    bits = min(SIEVE_BITS, max(1 << 16, 1 << (32 * n_names).bit_length()))
+    hashed = dictionary.select(F.explode(F.array(F.col("key"), F.split_part("key", F.lit(" "), F.lit(1)))).alias("k")).select(F.pmod(F.crc32("k"), F.lit(bits)).alias("h"))
+    words = hashed.groupBy(F.expr("h div 8").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(h % 8 as int))")).alias("set")).toArrow()
+    table = np.zeros(bits // 8, dtype=np.uint8)
+    table[words["at"].to_numpy()] = words["set"].to_numpy()
+    return table.tobytes()
+
+
+class _Firsts(dict):
+    """token -> may a name begin with it? Asked of ``test`` once a token."""
+
+    def __init__(self, test: Callable[[str], bool]):
+        self.test = test
+
+    def __missing__(self, token: str) -> bool:
+        self[token] = may = self.test(token.lower())
+        return may
+
+
+def gram_batches(batches: Iterable[pa.RecordBatch], lengths: list[int], sieve: bytes | None = None, at_once: int = GRAMS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """(text_id, text) batches -> text_id, key, name, begin, end of their n-grams, about ``at_once`` rows at a time."""
+    opening, closing = frozenset(BEFORE.replace("\\", "")), frozenset(AFTER.replace("\\", ""))
+    cut, lengths = re.compile(f"({TOKENIZERS['simple']})", re.ASCII).split, sorted(lengths)
+    bits = 8 * len(sieve) if sieve else 0
+
+    def known(key: str) -> bool:
+        if not bits:
+            return True
+        h = zlib.crc32(key.encode()) % bits
+        return bool(sieve[h >> 3] >> (h & 7) & 1)
+
+    firsts = _Firsts(known)
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1)
+        out: list[tuple[int, str, str, int, int]] = []
+
+        def made(rows: list[tuple[int, str, str, int, int]], ids: pa.Array = ids) -> pa.RecordBatch:
+            row, key, name, begin, end = zip(*rows, strict=True)
+            columns = [ids.take(pa.array(row, pa.int32())), pa.array(key, pa.string()), pa.array(name, pa.string()), pa.array(begin, pa.int32()), pa.array(end, pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, names=["text_id", "key", "name", "begin", "end"])
+
+        for at in range(batch.num_rows):
+            text = texts[at].as_py()
+            if not text:
+                continue
+            if len(firsts) > 100_000:
+                firsts.clear()
+            parts = cut(text)  # gaps and tokens in turn
+            tokens, places = parts[1::2], list(accumulate(map(len, parts)))
+            for i in [i for i, may in enumerate(map(firsts.__getitem__, tokens)) if may]:
+                a = places[2 * i]
+                if a and text[a - 1] not in opening:
+                    continue
+                for n in lengths:
+                    if i + n > len(tokens):
+                        break
+                    b = places[2 * (i + n) - 1]
+                    if b < len(text) and text[b] not in closing:
+                        continue
+                    gram = tokens[i].lower() if n == 1 else " ".join(tokens[i : i + n]).lower()
+                    if known(gram):
+                        out.append((at, gram, text[a:b], a, b - 1))
+                if len(out) >= at_once:
+                    yield made(out)
+                    out = []
+        if out:
+            yield made(out)
+
+
+def token_grams(texts: DataFrame, lengths: list[int], text_col: str = "plain", sieve: bytes | None = None) -> DataFrame:
     """text_id, key, name, begin, end: runs of tokens where a mention may stand, for each of the lengths.
 
     One pass over each text in Arrow batches, with no shuffle. With a fold in SQL functions queries
-    took three to four times as long, and windows over tokens would shuffle all of them.
+    took three to four times as long, and windows over tokens would shuffle all of them. A ``sieve``
+    (from ``key_sieve``) leaves out most n-grams that are no names.
     """
     kind = texts.schema["text_id"].dataType.simpleString()
-    pattern, opening, closing = TOKENIZERS["simple"], frozenset(BEFORE.replace("\\", "")), frozenset(AFTER.replace("\\", ""))
+    shared = None if sieve is None else texts.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(pattern, re.ASCII).finditer
-        for batch in batches:
-            row, key, name, begin, end = [], [], [], [], []
-            for at, text in enumerate(batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                spans = [m.span() for m in find(text)]
-                low = [text[a:b].lower() for a, b in spans]
-                opens = [a == 0 or text[a - 1] in opening for a, _ in spans]
-                closes = [b == len(text) or text[b] in closing for _, b in spans]
-                for n in lengths:
-                    for i in range(len(spans) - n + 1):
-                        if opens[i] and closes[i + n - 1]:
-                            a, b = spans[i][0], spans[i + n - 1][1]
-                            row.append(at)
-                            key.append(" ".join(low[i : i + n]))
-                            name.append(text[a:b])
-                            begin.append(a)
-                            end.append(b - 1)
-            columns = [batch.column(0).take(pa.array(row, pa.int32())), pa.array(key, pa.string()), pa.array(name, pa.string()), pa.array(begin, pa.int32()), pa.array(end, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["text_id", "key", "name", "begin", "end"])
+        yield from gram_batches(batches, lengths, shared and shared.value)
 
     return texts.select("text_id", F.col(text_col).alias("plain")).mapInArrow(run, f"text_id {kind}, key string, name string, begin int, end int")
 
@@ -89,15 +153,13 @@ def merge_dictionary(names: DataFrame) -> DataFrame:
 def match_names(texts: DataFrame, dictionary: DataFrame, text_col: str = "plain", taxa: DataFrame | None = None, longest: bool = True) -> DataFrame:
     """Mentions of dictionary names (from ``merge_dictionary``) in texts: text_id, begin, end, name, candidates, taxon.
 
-    Each text's tokens make n-grams of the lengths that names have; n-grams are joined to the
-    names by their form (a hash join that AQE may broadcast). ``taxa`` (text_id, taxon) limits
+    Each text's tokens make n-grams of the lengths that names have; those that pass a sieve of
+    the names' hashes are joined to the names by their form (a hash join that AQE may broadcast). ``taxa`` (text_id, taxon) limits
     a text to the dictionaries of its species. With ``longest`` the leftmost longest match wins
     within a taxon and later ones that overlap it are dropped; other taxa may overlap.
     """
-    lengths = [r[0] for r in dictionary.select("n_tokens").distinct().orderBy("n_tokens").collect()]  # distinct lengths, never more than the longest name has tokens
-    if not lengths:
-        lengths = [1]
-    gram = token_grams(texts, lengths, text_col)
+    counts = {r[0]: r[1] for r in dictionary.groupBy("n_tokens").agg(F.count(F.lit(1))).collect()}  # distinct lengths, never more than the longest name has tokens
+    gram = token_grams(texts, sorted(counts), text_col, key_sieve(dictionary, sum(counts.values())))
     names = dictionary.select("key", "ids", F.col("taxon"))
     found = gram.join(names, "key").select("text_id", "begin", "end", "name", F.col("ids").alias("candidates"), "taxon")
     if taxa is not None:
