@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -76,6 +77,11 @@ def found(spark: SparkSession, sf_dir: str, longest: bool = False) -> DataFrame:
     return match.match_names(doc_texts(spark, sf_dir), dictionary, longest=longest)
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows`` for a query that reads them several times: else each reading would match the texts anew."""
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def joined_ids(c: str = "candidates") -> Column:
     return F.array_join(c, ";")
 
@@ -250,9 +256,9 @@ def contained_spans(spark, sf_dir):
 @query(f"""WITH {MATCHES}, m AS (SELECT * FROM matches WHERE taxon = 1), g AS (SELECT * FROM matches WHERE taxon <> 1 OR name = 'of the')
 SELECT text_id, b AS begin_at, e AS end_at, name FROM m WHERE EXISTS (SELECT 1 FROM g WHERE g.text_id = m.text_id AND m.b <= g.e AND g.b <= m.e)""")
 def overlap_semijoin(spark, sf_dir):
-    m = found(spark, sf_dir)
-    kept = filters.overlapping(m.where("taxon = 1"), m.where("taxon <> 1 or name = 'of the'"))
-    return kept.select("text_id", F.col("begin").alias("begin_at"), F.col("end").alias("end_at"), "name")
+    m = kept(found(spark, sf_dir))
+    overlapping = filters.overlapping(m.where("taxon = 1"), m.where("taxon <> 1 or name = 'of the'"))
+    return overlapping.select("text_id", F.col("begin").alias("begin_at"), F.col("end").alias("end_at"), "name")
 
 
 @query()
@@ -324,8 +330,8 @@ def doc_words(spark, sf_dir) -> DataFrame:
 
 @query(r"""SELECT text_id, count(*) AS n FROM (SELECT doc_id AS text_id, unnest(string_split_regex(lower(text), '\s+')) AS w FROM documents) WHERE w NOT IN ('the', 'of', 'de', 'la', 'der', 'die') GROUP BY 1""")
 def stop_word_filter(spark, sf_dir):
-    kept = filters.stop_words(doc_words(spark, sf_dir), values(spark, "('the'),('of'),('de'),('la'),('der'),('die')", "word"))
-    return kept.groupBy("text_id").agg(F.count(F.lit(1)).alias("n"))
+    left = filters.stop_words(doc_words(spark, sf_dir), values(spark, "('the'),('of'),('de'),('la'),('der'),('die')", "word"))
+    return left.groupBy("text_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -365,8 +371,8 @@ def left_right_context(spark, sf_dir):
 @query(r"""WITH w AS (SELECT doc_id AS text_id, unnest(string_split_regex(lower(text), '\s+')) AS name FROM documents),
 c AS (SELECT text_id, name, count(*) AS tf, sum(count(*)) OVER (PARTITION BY name) AS df FROM w GROUP BY 1, 2) SELECT text_id, name, tf AS n FROM c WHERE tf / df >= 0.5""")
 def tf_idf_filter(spark, sf_dir):
-    kept = filters.tf_idf(doc_words(spark, sf_dir), 0.5)
-    return kept.groupBy("text_id", "name").agg(F.count(F.lit(1)).alias("n"))
+    frequent = filters.tf_idf(doc_words(spark, sf_dir), 0.5)
+    return frequent.groupBy("text_id", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -407,7 +413,7 @@ def identify_all(spark, sf_dir):
 
 @query()
 def aligned_candidates(spark, sf_dir):
-    m = found(spark, sf_dir)
+    m = kept(found(spark, sf_dir))
     g = values(spark, "('G1', array('of the', 'off the')), ('G3', array('the xand')), ('G9', array('thee', 'th'))", "gene_id, names")
     return filters.align_candidates(m, g).select("text_id", "begin", "name", joined_ids().alias("ids"))
 
@@ -716,9 +722,9 @@ def tag_sentences(spark, sf_dir):
 # ---- results
 
 
-def identified(spark, sf_dir) -> DataFrame:
+def identified(spark, sf_dir, mentions: DataFrame | None = None) -> DataFrame:
     g = values(spark, "('G3', 1), ('G6', 1), ('G1', 2), ('G7', 3)", "gene_id, taxon")
-    return filters.identify_all(found(spark, sf_dir).drop("taxon"), g)
+    return filters.identify_all((found(spark, sf_dir) if mentions is None else mentions).drop("taxon"), g)
 
 
 _IDENTIFIED = f"""{MATCHES}, g(id, taxon) AS (VALUES ('G3', 1), ('G6', 1), ('G1', 2), ('G7', 3)), u AS (SELECT text_id, name, b, e, unnest(ids) AS id FROM matches),
@@ -803,8 +809,9 @@ SELECT text_id, b AS begin_at, e AS end_at, name, {_IDS} AS ids, taxon FROM kept
 SELECT m.text_id, m.b AS begin_at, m.name, coalesce(i.gene_id, 'N/A') AS gene_id, 'N/A' AS symbol, coalesce(i.taxon::VARCHAR, 'N/A') AS taxon, array_to_string(m.ids, ';') AS candidates
 FROM matches m LEFT JOIN i USING (text_id, b, e, name) WHERE m.text_id IN (SELECT text_id FROM ident)""")
 def mention_rows(spark, sf_dir):
-    i = identified(spark, sf_dir).groupBy("text_id", "begin", "end", "name").agg(F.min("gene_id").alias("gene_id"), F.min("taxon").alias("taxon"))
-    m = found(spark, sf_dir).drop("taxon").join(i, ["text_id", "begin", "end", "name"], "left").withColumns({"symbol": F.lit(None).cast("string"), "score": F.lit(None).cast("float")})
+    all_found = kept(found(spark, sf_dir))
+    i = identified(spark, sf_dir, all_found).groupBy("text_id", "begin", "end", "name").agg(F.min("gene_id").alias("gene_id"), F.min("taxon").alias("taxon"))
+    m = all_found.drop("taxon").join(i, ["text_id", "begin", "end", "name"], "left").withColumns({"symbol": F.lit(None).cast("string"), "score": F.lit(None).cast("float")})
     return sinks.mention_rows(m, only_with_genes=True).select("text_id", F.col("begin").alias("begin_at"), "name", "gene_id", "symbol", "taxon", "candidates")
 
 
@@ -812,7 +819,8 @@ def mention_rows(spark, sf_dir):
 UNION ALL SELECT 'U', text_id, b, e, name, array_to_string(ids, ';') FROM matches m WHERE NOT EXISTS (SELECT 1 FROM ident i WHERE (i.text_id, i.b, i.e, i.name) = (m.text_id, m.b, m.e, m.name)))
 SELECT kind, text_id, b AS begin_at, name, ids FROM r""")
 def status_dump(spark, sf_dir):
-    return sinks.status_rows(found(spark, sf_dir), identified(spark, sf_dir)).select("kind", "text_id", F.col("begin").alias("begin_at"), "name", "ids")
+    m = kept(found(spark, sf_dir))
+    return sinks.status_rows(m, identified(spark, sf_dir, m)).select("kind", "text_id", F.col("begin").alias("begin_at"), "name", "ids")
 
 
 @query(f"WITH {_IDENTIFIED} SELECT text_id, gene_id, name, round(1.0, 1)::DOUBLE AS score, b AS begin_at, e AS end_at, taxon FROM ident")
