@@ -1,6 +1,7 @@
 """What keeps a task's memory and time in bounds when batches, texts and groups are large."""
 
 import random
+import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -29,6 +30,31 @@ def test_sieve_keeps_every_name(spark):
     assert len(grams(sieve)) < len(grams(None))
 
 
+def test_sieve_leaves_only_names(spark):
+    names = spark.createDataFrame([("of the", "G1", 1), ("the and that", "G2", 1), ("k", "G3", 1)], "name string, id string, taxon int")
+    sieve = match.key_sieve(match.merge_dictionary(names), 3)
+    text = "of the and of that, the and; Of The (\u212a) the and that"
+    got = [(r["key"], r["name"], r["begin"], r["end"]) for b in match.gram_batches([texts_batch([text])], [1, 2, 3], sieve) for r in b.to_pylist()]
+    assert got == [("of the", "of the", 0, 5), ("of the", "Of The", 29, 34), ("k", "\u212a", 37, 37), ("the and that", "the and that", 40, 51)]
+
+
+def test_grams_of_odd_characters():
+    rng, token = random.Random(7), re.compile(match.TOKENIZERS["simple"], re.ASCII)
+    pieces = ["a", "K", "\u212a", "É", "İ", "Σ", "𝒳", "日本", " ", "  ", "\n", "\x0b", "\x1c", "\x85", "\x00", ".", ",", "(", ")", "/", "-", ":", "_", "the", "9", "é"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(30))) for _ in range(300)]
+    wanted = set()
+    for k, t in enumerate(texts):
+        places = [m.span() for m in token.finditer(t)]
+        for i, (a, _) in enumerate(places):
+            for span in (places[i : i + n] for n in (1, 3) if i + n <= len(places)):
+                b = span[-1][1]
+                if (a == 0 or t[a - 1] in " :(/-") and (b == len(t) or t[b] in " ,.:;)/-+("):
+                    wanted.add((k, " ".join(t[x:y] for x, y in span).lower(), t[a:b], a, b - 1))
+    for chars in (1, 50, 1 << 18):
+        got = [tuple(r.values()) for b in match.gram_batches([texts_batch(texts)], [1, 3], chars_at_once=chars) for r in b.to_pylist()]
+        assert len(got) == len(wanted) and set(got) == wanted
+
+
 def test_context_reads_a_text_once(spark):
     rng = random.Random(5)
     pieces = ["a", "é", ". ", ".", " ", " e.g. ", ". al. ", "x vs. ", "\n vs. ", "word"]

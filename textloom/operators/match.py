@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
-from itertools import accumulate
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,49 +47,107 @@ def token_table(texts: DataFrame, text_col: str = "plain") -> DataFrame:
 
 #: n-grams that leave Python at once, so that a task's memory follows neither a batch's rows nor a text's length.
 GRAMS_AT_ONCE = 8192
-#: Bits of the largest sieve (16 MB); with more names than that it lets more n-grams through to the join.
+#: Characters of whole texts that are looked at together, one longer text by itself.
+CHARS_AT_ONCE = 1 << 18
+#: Bits of the largest sieve of names (16 MB, beginnings and names); with more names than that it lets more n-grams through to the join.
 SIEVE_BITS = 1 << 27
+#: Bits of a table of token outlines, of which a sieve begins with three: of one-token names, of other names' first tokens, of their second tokens.
+OUTLINE_BITS = 1 << 19
+
+
+def outline(token: Column) -> Column:
+    """First, second and last character and length of a lower-case token, five bits each and four: tokens that are equal have equal ones."""
+    code = lambda c: F.when(F.ascii(c) < 128, F.ascii(c)).otherwise(0).bitwiseAND(31)
+    size = F.length(token)
+    return code(F.substring(token, 1, 1)) + 32 * code(F.substr(token, F.least(size, F.lit(2)), F.lit(1))) + 1024 * code(F.right(token, F.lit(1))) + 32768 * F.least(size, F.lit(15))
 
 
 def key_sieve(dictionary: DataFrame, n_names: int) -> bytes:
-    """A table of bits, set at the CRC-32 of every key and of every key's first token.
+    """Tables of bits, one behind the other: three of outlines, one of the CRC-32 of every key's beginnings of whole tokens, one of that of every key.
 
-    What it lacks is no name; what it has is settled by the join with the dictionary.
+    What they lack is no name; what they have is settled by the join with the dictionary.
     """
-    bits = min(SIEVE_BITS, max(1 << 16, 1 << (32 * n_names).bit_length()))
-    hashed = dictionary.select(F.explode(F.array(F.col("key"), F.split_part("key", F.lit(" "), F.lit(1)))).alias("k")).select(F.pmod(F.crc32("k"), F.lit(bits)).alias("h"))
+    bits = min(SIEVE_BITS // 2, max(1 << 16, 1 << (32 * n_names).bit_length()))
+    parts, top = F.split("key", " "), 3 * OUTLINE_BITS
+    outlines = F.when(F.size(parts) == 1, F.array(outline(parts[0]))).otherwise(F.array(outline(parts[0]) + OUTLINE_BITS, outline(F.get(parts, F.lit(1))) + 2 * OUTLINE_BITS))
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.pmod(F.crc32(F.array_join(F.slice(parts, F.lit(1), n), " ")), F.lit(bits)) + top)
+    hashed = dictionary.select(F.explode(F.concat(outlines.cast("array<bigint>"), starts, F.array(F.pmod(F.crc32("key"), F.lit(bits)) + top + bits))).alias("h"))
     words = hashed.groupBy(F.expr("h div 8").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(h % 8 as int))")).alias("set")).toArrow()
-    table = np.zeros(bits // 8, dtype=np.uint8)
+    table = np.zeros((top + 2 * bits) // 8, dtype=np.uint8)
     table[words["at"].to_numpy()] = words["set"].to_numpy()
     return table.tobytes()
 
 
-class _Firsts(dict):
-    """token -> may a name begin with it? Asked of ``test`` once a token."""
+def _among(characters: str) -> np.ndarray:
+    """By code point, the last entry for all beyond ASCII: is it one of these?"""
+    return np.array([chr(c) in characters for c in range(128)] + [False])
 
-    def __init__(self, test: Callable[[str], bool]):
-        self.test = test
 
-    def __missing__(self, token: str) -> bool:
-        self[token] = may = self.test(token.lower())
-        return may
+_ALNUM, _SPACE = (np.array([bool(re.match(p, chr(c), re.ASCII)) for c in range(128)] + [False]) for p in ("[A-Za-z0-9]", r"\s"))
+_OPENING, _CLOSING = _among(BEFORE.replace("\\", "")), _among(AFTER.replace("\\", ""))
+_FOLDED = np.array([ord(chr(c).lower()) for c in range(128)] + [0], np.int32) & 31
 
 
-def gram_batches(batches: Iterable[pa.RecordBatch], lengths: list[int], sieve: bytes | None = None, at_once: int = GRAMS_AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """(text_id, text) batches -> text_id, key, name, begin, end of their n-grams, about ``at_once`` rows at a time."""
-    opening, closing = frozenset(BEFORE.replace("\\", "")), frozenset(AFTER.replace("\\", ""))
-    cut, lengths = re.compile(f"({TOKENIZERS['simple']})", re.ASCII).split, sorted(lengths)
-    bits = 8 * len(sieve) if sieve else 0
+def token_places(text: str, sieve: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (inclusive) of the tokens of a text between spaces, the numbers of those that may begin a name, and which may end one.
 
-    def known(key: str) -> bool:
-        if not bits:
-            return True
-        h = zlib.crc32(key.encode()) % bits
-        return bool(sieve[h >> 3] >> (h & 7) & 1)
+    The simple tokenizer over arrays of characters; outlines of a token and of the next one leave out most that begin no name.
+    """
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    codes = np.minimum(points, 128).astype(np.uint8)
+    alnum = _ALNUM[codes]
+    mark = ~(alnum | _SPACE[codes])
+    starts, ends = mark.copy(), mark
+    starts[1:] |= alnum[1:] & ~alnum[:-1]
+    ends[:-1] |= alnum[:-1] & ~alnum[1:]
+    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends)
+    may = _OPENING[codes[starts - 1]]
+    if sieve is not None:
+        folded = _FOLDED[codes]
+        folded[points == 0x212A] = ord("k") & 31  # the one letter beyond ASCII that is within it in lower case
+        seen = folded[starts] + 32 * folded[np.minimum(starts + 1, ends)] + 1024 * folded[ends] + 32768 * np.minimum(ends - starts + 1, 15)
+        table = np.frombuffer(sieve, np.uint8, 3 * OUTLINE_BITS // 8)
+        one, first, second = ((table[(seen + k * OUTLINE_BITS) >> 3] >> (seen & 7) & 1).astype(bool) for k in range(3))
+        first[:-1] &= second[1:]
+        first[-1:] = False
+        may &= one | first
+    return starts, ends, np.flatnonzero(may), _CLOSING[codes[ends + 1]]
+
+
+def gram_batches(batches: Iterable[pa.RecordBatch], lengths: list[int], sieve: bytes | None = None, at_once: int = GRAMS_AT_ONCE, chars_at_once: int = CHARS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """(text_id, text) batches -> text_id, key, name, begin, end of their n-grams, about ``at_once`` rows at a time.
+
+    A run of tokens grows only while the sieve has it as the beginning of a name.
+    """
+    lengths, top, crc = frozenset(lengths), 3 * OUTLINE_BITS, zlib.crc32
+    longest, bits = max(lengths, default=0), (4 * len(sieve) - top // 2) if sieve else 0
+
+    def grams(rows: list[int], texts: list[str]) -> Iterator[tuple[int, str, str, int, int]]:
+        text = f" {' '.join(texts)} "  # a space may stand on both sides of a mention, as a text's ends may
+        starts, ends, may, closes = token_places(text, sieve)
+        begins = np.cumsum([1] + [len(x) + 1 for x in texts])
+        own = np.searchsorted(begins, starts[may], "right") - 1
+        limits = np.minimum(np.searchsorted(starts, begins[own + 1]), may + longest)
+        numbers = zip(may.tolist(), own.tolist(), limits.tolist(), begins[own].tolist(), strict=True)
+        starts, ends, closes = starts.tolist(), (ends + 1).tolist(), closes.tolist()
+        for i, k, limit, at in numbers:
+            h, low = 0, ""
+            for j in range(i, limit):
+                token = text[starts[j] : ends[j]].lower()
+                low = f"{low} {token}" if low else token
+                if bits:
+                    h = crc(token.encode() if j == i else b" " + token.encode(), h)
+                    g = h % bits + top
+                    if not sieve[g >> 3] >> (g & 7) & 1:
+                        break
+                    g += bits
+                    if not sieve[g >> 3] >> (g & 7) & 1:
+                        continue
+                if closes[j] and j - i + 1 in lengths:
+                    yield rows[k], low, text[starts[i] : ends[j]], starts[i] - at, ends[j] - 1 - at
 
-    firsts = _Firsts(known)
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        ids, values = batch.column(0), batch.column(1)
         out: list[tuple[int, str, str, int, int]] = []
 
         def made(rows: list[tuple[int, str, str, int, int]], ids: pa.Array = ids) -> pa.RecordBatch:
@@ -98,30 +155,20 @@ def gram_batches(batches: Iterable[pa.RecordBatch], lengths: list[int], sieve: b
             columns = [ids.take(pa.array(row, pa.int32())), pa.array(key, pa.string()), pa.array(name, pa.string()), pa.array(begin, pa.int32()), pa.array(end, pa.int32())]
             return pa.RecordBatch.from_arrays(columns, names=["text_id", "key", "name", "begin", "end"])
 
-        for at in range(batch.num_rows):
-            text = texts[at].as_py()
-            if not text:
-                continue
-            if len(firsts) > 100_000:
-                firsts.clear()
-            parts = cut(text)  # gaps and tokens in turn
-            tokens, places = parts[1::2], list(accumulate(map(len, parts)))
-            for i in [i for i, may in enumerate(map(firsts.__getitem__, tokens)) if may]:
-                a = places[2 * i]
-                if a and text[a - 1] not in opening:
-                    continue
-                for n in lengths:
-                    if i + n > len(tokens):
-                        break
-                    b = places[2 * (i + n) - 1]
-                    if b < len(text) and text[b] not in closing:
-                        continue
-                    gram = tokens[i].lower() if n == 1 else " ".join(tokens[i : i + n]).lower()
-                    if known(gram):
-                        out.append((at, gram, text[a:b], a, b - 1))
-                if len(out) >= at_once:
-                    yield made(out)
-                    out = []
+        rows, texts, n = [], [], 0
+        for at in range(batch.num_rows + 1):
+            text = values[at].as_py() if at < batch.num_rows else None
+            if texts and (at == batch.num_rows or n + len(text or "") > chars_at_once):
+                for gram in grams(rows, texts):
+                    out.append(gram)
+                    if len(out) >= at_once:
+                        yield made(out)
+                        out = []
+                rows, texts, n = [], [], 0
+            if text:
+                rows.append(at)
+                texts.append(text)
+                n += len(text)
         if out:
             yield made(out)
 
