@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import sentence_span
 from textloom.operators import filters, match
+from textloom.sources import sinks
 
 
 def texts_batch(texts):
@@ -72,3 +73,12 @@ def test_context_of_a_long_text(spark):
     m = t.select("text_id", F.explode(F.sequence(F.lit(0), F.lit(len(text) - 16), F.lit(16))).alias("begin"), F.lit(0).alias("end"))
     span = filters.with_context(m, t).agg(F.count("sentence_begin"), F.max("sentence_begin"), F.sum((F.length("sentence") == len(text) + 1).cast("int"))).first()
     assert tuple(span) == (20000, 0, 20000)
+
+
+def test_inline_tags_of_a_long_text(spark):
+    text = "é𝒳the cat " * 2000
+    t = spark.createDataFrame([(1, text), (2, "none"), (3, None)], "text_id int, plain string")
+    m = t.where("text_id = 1").select("text_id", F.explode(F.sequence(F.lit(2), F.lit(len(text) - 8), F.lit(10))).alias("begin")).withColumn("end", F.col("begin") + 2)
+    m = m.select("*", *[F.lit(None).cast("string").alias(c) for c in ("gene_id", "symbol", "taxon", "score")], F.lit("x").alias("other_ids"))
+    got = dict(sinks.inline_xml(t, m).collect())
+    assert got == {1: text.replace("the", '<recognized otherIds="x">the</recognized>'), 2: "none", 3: None}

@@ -54,7 +54,7 @@ def _attribute(name: str, value: Column) -> Column:
 
 
 def inline_xml(texts: DataFrame, mentions: DataFrame) -> DataFrame:
-    """text_id, annotated: mentions wrapped in tags, applied from the right so that places stay true.
+    """text_id, annotated: mentions wrapped in tags.
 
     ``mentions``: text_id, begin, end and gene_id (null if only recognized), other_ids, symbol, taxon,
     score. Of mentions that overlap the leftmost, longest one is written.
@@ -67,10 +67,14 @@ def inline_xml(texts: DataFrame, mentions: DataFrame) -> DataFrame:
     ).otherwise(F.concat(F.lit("<recognized"), _attribute("otherIds", F.col("other_ids")), F.lit(">")))
     tail = F.when(F.col("gene_id").isNotNull(), "</gene>").otherwise("</recognized>")
     apart = leftmost_longest(mentions.select("text_id", "begin", "end", head.alias("head"), tail.alias("tail")), ["text_id"])
-    listed = apart.groupBy(F.col("text_id").alias("m_text")).agg(F.sort_array(F.collect_list(F.struct("begin", "end", "head", "tail")), asc=False).alias("ms"))
+    listed = apart.groupBy(F.col("text_id").alias("m_text")).agg(F.sort_array(F.collect_list(F.struct("begin", "end", "head", "tail"))).alias("ms"))
     joined = texts.select("text_id", "plain").join(listed, F.col("text_id") == F.col("m_text"), "left")
-    put = lambda t, m: F.concat(F.substr(t, F.lit(1), m["begin"]), m["head"], F.substr(t, m["begin"] + 1, m["end"] - m["begin"] + 1), m["tail"], F.substr(t, m["end"] + 2))
-    return joined.select("text_id", F.when(F.col("ms").isNull(), F.col("plain")).otherwise(F.aggregate("ms", F.col("plain"), put)).alias("annotated"))
+    t, m = F.col("plain"), F.col("ms")
+    # each mention with the text since the one before it, so that a text is written once and not once a mention
+    before = lambda i: F.when(i > 0, F.get(m, i - 1)["end"] + 1).otherwise(0)
+    piece = lambda x, i: F.concat(F.substr(t, before(i) + 1, x["begin"] - before(i)), x["head"], F.substr(t, x["begin"] + 1, x["end"] - x["begin"] + 1), x["tail"])
+    written = F.concat(F.array_join(F.transform(m, piece), ""), F.substr(t, F.element_at(m, -1)["end"] + 2))
+    return joined.select("text_id", F.when(m.isNull(), t).otherwise(written).alias("annotated"))
 
 
 def title_and_abstract(annotated: Column) -> Column:
