@@ -1,13 +1,17 @@
 """What keeps a task's memory and time in bounds when batches, texts and groups are large."""
 
+import os
 import random
 import re
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions.text import sentence_span
 from textloom.operators import filters, match
+from textloom.plans import queries
 from textloom.sources import sinks
 
 
@@ -82,3 +86,16 @@ def test_inline_tags_of_a_long_text(spark):
     m = m.select("*", *[F.lit(None).cast("string").alias(c) for c in ("gene_id", "symbol", "taxon", "score")], F.lit("x").alias("other_ids"))
     got = dict(sinks.inline_xml(t, m).collect())
     assert got == {1: text.replace("the", '<recognized otherIds="x">the</recognized>'), 2: "none", 3: None}
+
+
+@pytest.mark.parametrize("name", ["genes_by_text", "stream_matches"])
+def test_a_large_row_group_is_read_within_the_heap(spark, tmp_path, name):
+    texts = [f"the and {os.urandom(20000).hex()}" for _ in range(1200)]
+    rows = pa.table({"doc_id": range(1200), "text": texts, "lang": ["en"] * 1200, "source": ["x"] * 1200})
+    pq.write_table(rows, tmp_path / "documents.parquet", compression="none")  # one row group of 48 MB
+    jvm = spark._jvm
+    kind = jvm.java.lang.Class.forName("java.lang.management.BufferPoolMXBean")
+    direct = lambda: sum(b.getMemoryUsed() for b in jvm.java.lang.management.ManagementFactory.getPlatformMXBeans(kind) if b.getName() == "direct")
+    before = direct()
+    assert queries.QUERIES[name](spark, str(tmp_path)).count() == 1200
+    assert direct() - before < 24_000_000

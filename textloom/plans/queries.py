@@ -31,8 +31,12 @@ def query(sql: str | None = None):
     return keep
 
 
+#: Parquet's vectored reads keep a direct buffer as large as a row group's column for each thread, outside the heap and its limit; without them it is read in pieces of 8 MB.
+READING = {"parquet.hadoop.vectored.io.enabled": "false"}
+
+
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.options(**READING).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
@@ -783,7 +787,7 @@ def stream_matches(spark, sf_dir):
 
     base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()).rstrip("/")
     out = f"{base}/stream-{uuid.uuid4().hex}"
-    rows = spark.readStream.schema(t(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
+    rows = spark.readStream.options(**READING).schema(t(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
     stream = rows.select(F.col("doc_id").alias("text_id"), F.col("text").alias("plain"))
     dictionary = match.merge_dictionary(values(spark, NAMES, "name, id, taxon"))
     match_stream(stream, dictionary, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
