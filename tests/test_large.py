@@ -99,3 +99,61 @@ def test_a_large_row_group_is_read_within_the_heap(spark, tmp_path, name):
     before = direct()
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 1200
     assert direct() - before < 24_000_000
+
+
+@pytest.mark.parametrize("name", ["stream_matches", "identify_all", "result_rows", "term_codes"])
+def test_long_texts_go_to_python_in_bounded_batches(spark, tmp_path, monkeypatch, name):
+    texts = [f"the and mit der {k} {'x' * 20000} the and" for k in range(1200)]
+    rows = pa.table({"doc_id": range(1200), "text": texts, "lang": ["en"] * 1200, "source": ["x"] * 1200})
+    pq.write_table(rows, tmp_path / "documents.parquet")  # 24 MB, fewer rows than Spark puts into a batch
+    made = match.gram_batches
+
+    def bounded(batches, *args):
+        for batch in batches:
+            assert batch.nbytes < 8_000_000, "a batch of texts is too large"
+            yield from made([batch], *args)
+
+    monkeypatch.setattr(match, "gram_batches", bounded)
+    expected = {"stream_matches": 3 * 1200, "identify_all": 3 * 1200, "result_rows": 3 * 1200, "term_codes": 1200}
+    assert queries.QUERIES[name](spark, str(tmp_path)).count() == expected[name]
+
+
+BOUNDS = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+
+
+@pytest.mark.parametrize("name", ["identify_all", "result_rows", "term_codes"])
+def test_texts_are_unpacked_a_few_at_a_time(spark, tmp_path, name):
+    rows = pa.table({"doc_id": range(3000), "text": ["the and mit der"] * 3000, "lang": ["en"] * 3000, "source": ["x"] * 3000})
+    pq.write_table(rows, tmp_path / "documents.parquet")
+    run = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution()
+    run.toRdd().count()
+    batches, todo = [], [run.executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(k) for k in range(node.children().size())]
+        if kind == "ColumnarToRowExec":
+            batches.append(node.metrics().apply("numInputBatches").value())
+    assert len(batches) == 1 and batches[0] >= 3000 / match.TEXTS_AT_ONCE
+
+
+def test_a_stream_starts_with_bounded_batches(spark, tmp_path, monkeypatch):
+    for key in BOUNDS:
+        spark.conf.unset(key)
+    rows = pa.table({"doc_id": range(30), "text": ["the and mit der"] * 30, "lang": ["en"] * 30, "source": ["x"] * 30})
+    pq.write_table(rows, tmp_path / "documents.parquet")
+    seen, matches = [], match.match_names
+    monkeypatch.setattr(match, "match_names", lambda batch, *args: seen.append([batch.sparkSession.conf.get(key, None) for key in BOUNDS]) or matches(batch, *args))
+    assert queries.QUERIES["stream_matches"](spark, str(tmp_path)).count() == 60
+    assert seen == [[str(match.BYTES_AT_ONCE), str(match.TEXTS_AT_ONCE)]]
+
+
+def test_a_session_keeps_its_own_bounds(spark):
+    for key in BOUNDS:
+        spark.conf.set(key, "1000")
+    try:
+        match.bounded_batches(spark.range(1))
+        assert [spark.conf.get(key) for key in BOUNDS] == ["1000", "1000"]
+    finally:
+        for key in BOUNDS:
+            spark.conf.unset(key)

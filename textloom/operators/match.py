@@ -173,6 +173,21 @@ def gram_batches(batches: Iterable[pa.RecordBatch], lengths: list[int], sieve: b
             yield made(out)
 
 
+#: Bytes of texts that go to Python as one Arrow batch. Spark's own bound is 10,000 rows however long they are, and the JVM holds a batch outside its heap.
+BYTES_AT_ONCE = 1 << 22
+#: Texts that Parquet's reader unpacks at a time; Spark's own 4096 fill a heap when texts are long.
+TEXTS_AT_ONCE = 256
+
+
+def bounded_batches(texts: DataFrame) -> DataFrame:
+    """``texts``, whose session reads and hands them to Python in batches of these bounds from now on, unless it has bounds of its own."""
+    conf = texts.sparkSession.conf
+    for key, bound in (("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_AT_ONCE), ("spark.sql.parquet.columnarReaderBatchSize", TEXTS_AT_ONCE)):
+        if conf.get(key, None) is None:
+            conf.set(key, str(bound))
+    return texts
+
+
 def token_grams(texts: DataFrame, lengths: list[int], text_col: str = "plain", sieve: bytes | None = None) -> DataFrame:
     """text_id, key, name, begin, end: runs of tokens where a mention may stand, for each of the lengths.
 
@@ -186,7 +201,7 @@ def token_grams(texts: DataFrame, lengths: list[int], text_col: str = "plain", s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from gram_batches(batches, lengths, shared and shared.value)
 
-    return texts.select("text_id", F.col(text_col).alias("plain")).mapInArrow(run, f"text_id {kind}, key string, name string, begin int, end int")
+    return bounded_batches(texts).select("text_id", F.col(text_col).alias("plain")).mapInArrow(run, f"text_id {kind}, key string, name string, begin int, end int")
 
 
 def merge_dictionary(names: DataFrame) -> DataFrame:
@@ -284,7 +299,7 @@ def pattern_places(texts: DataFrame, patterns: DataFrame, text_col: str = "plain
                         out.append((text_id, at, best - 1, text[at:best], sorted(ids)))
             yield pd.DataFrame(out, columns=["text_id", "begin", "end", "name", "candidates"])
 
-    return texts.select("text_id", F.col(text_col).alias("__text")).mapInPandas(run, f"text_id {kind}, begin int, end int, name string, candidates array<string>")
+    return bounded_batches(texts).select("text_id", F.col(text_col).alias("__text")).mapInPandas(run, f"text_id {kind}, begin int, end int, name string, candidates array<string>")
 
 
 def first_characters(pattern: str) -> set[str]:

@@ -1,4 +1,7 @@
-"""Annotation of streams: the batch operators over micro-batches, with no state between texts."""
+"""Annotation of streams: the batch operators over micro-batches, with no state between texts.
+
+A stream copies its session's settings when it starts, so the bounds of batches are set before.
+"""
 
 from __future__ import annotations
 
@@ -30,7 +33,7 @@ def annotate_stream(stream: DataFrame, dictionary: DataFrame, genes: DataFrame,
         state = annotate(State(batch, dictionary, genes, config=config or Config()), tasks)
         sink(state.identified if state.identified is not None else state.mentions if state.mentions is not None else state.texts, number)
 
-    writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+    writer = match.bounded_batches(stream).writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
@@ -40,7 +43,7 @@ def match_stream(stream: DataFrame, dictionary: DataFrame, path: str, checkpoint
     def work(batch: DataFrame, number: int) -> None:
         match.match_names(batch, dictionary).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return match.bounded_batches(stream).writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def request_fields(query: Column) -> Column:
