@@ -9,9 +9,10 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import ranges
 from textloom.functions.text import sentence_span
-from textloom.operators import filters, match
-from textloom.plans import queries
+from textloom.operators import filters, match, species
+from textloom.plans import pipeline, queries
 from textloom.sources import sinks
 
 
@@ -157,3 +158,58 @@ def test_a_session_keeps_its_own_bounds(spark):
     finally:
         for key in BOUNDS:
             spark.conf.unset(key)
+
+
+def test_ranges_are_read_at_anchors_alone(monkeypatch):
+    read, at = ranges.read_phrase, []
+    monkeypatch.setattr(ranges, "read_phrase", lambda text, begin: at.append(begin) or read(text, begin))
+    assert ranges.expand_ranges("the cat, a dog and a bird sat on 12 mats. " * 50 + "MURF-1, -2 and -3 bind BMP2/4 ") == "the cat, a dog and a bird sat on 12 mats. " * 50 + "MURF-1, MURF-2, and MURF-3 bind BMP2 and BMP4 "
+    assert len(at) < 20
+
+
+def test_ranges_read_what_reading_everywhere_gives():
+    rng = random.Random(2)
+    pieces = ["MURF", "-1", "1", "2", "10", "-", " ", "  ", ",", ", ", " and ", ", and ", " to ", " - ", "/4", "A", "II", "ii", "x", "SMADs", "FA ", "GalNAc-T1", "-T2", "é", "²", ".", "(", "\n", "KK"]
+    for _ in range(5000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 12)))
+        starts = set(ranges.phrase_starts(text))
+        for begin in range(len(text)):
+            word = (begin == 0 or text[begin - 1] in " :(/-") and re.match("[A-Za-z0-9-]", text[begin])
+            assert begin in starts or not word or begin and text[begin - 1] not in ranges._BEFORE or text[begin] in ranges._BEFORE or ranges.read_phrase(text, begin) is None, (text, begin)
+
+
+def test_marks_are_in_every_hit():
+    hits = {
+        "human": "Human humans man patient patients cohorts|H. sap.|Homo sapiens|h. sapiens|HTB-134 HT-29|293 cell|HEK293 HEK-293 293T T47D T-47D Ramsey|breast cancer|mammalian cells|mammals|vertebrate homologs",
+        "mouse": "Mouse mouse Mice mice Murine murine|M. mus.|Mus musculus|m. Musculus|C57BL C3H 3T3 NIH-3T3 STO Yac-1 CTLL-2 EGG",
+        "rat": "Rat rats|R. nor.|Rattus norvegicus|r.\tNorv.", "rodent": "Rodents rodent", "fly": "fruitfly Fruit-fly|flies Fly D. d.|D. melanogaster|Drosophila Drosophilae",
+        "yeast": "Yeast yeast|baker's yeast|Saccharomyces cerevisiae S288c|S. cer.|s.Cer.|S.cerevisiae|ferment ferments",
+    }
+    for kind, words in hits.items():
+        for line in [x for part in words.split("|") for x in (part, *part.split())]:
+            hit = re.search(rf"(?<!\w)(?:{species.PATTERNS[kind][1]})(?!\w)", line, re.ASCII)
+            assert not hit or any(m in hit[0] if isinstance(m, str) else m[0] in hit[0] and m[1] in hit[0] for m in species.MARKS[kind]), (kind, line)
+
+
+def test_taxa_are_cleaned_in_the_row(spark):
+    rows = [(1, {39107: ["mice"], 10090: ["mouse", "a"]}), (2, {9989: ["rodent"], 10116: ["rat"]}), (3, {3846: ["glycine"]}), (4, {3846: ["glycine", "soy"], 9605: ["x"]}), (5, {}), (6, None)]
+    t = spark.createDataFrame(rows, "text_id int, taxon_names map<int, array<string>>")
+    shuffled = species.drop_ambiguous(species.normalize_taxa(t.select("text_id", F.explode("taxon_names").alias("taxon", "names"))))
+    wanted = {}
+    for r in shuffled.collect():
+        wanted.setdefault(r["text_id"], {})[r["taxon"]] = r["names"]
+    got = {r["text_id"]: r["c"] for r in t.select("text_id", species.clean(F.col("taxon_names")).alias("c")).collect()}
+    assert {k: v for k, v in got.items() if v} == wanted and got[3] is got[5] is got[6] is None
+
+
+def test_full_pipeline_stores_no_text_with_mentions(spark):
+    names = spark.createDataFrame([("Trp53", "m1", 10090), ("tumor protein", "m1", 10090), ("tp", "m2", 10090)], "name string, id string, taxon int")
+    genes = spark.createDataFrame([("m1", 10090, ["Trp53", "tumor protein"]), ("m2", 10090, ["tp1", "tp"])], "gene_id string, taxon int, names array<string>")
+    t = spark.createDataFrame([(1, "In mice Trp53 is bound. Trp53s too (Trp53)."), (2, "no names in mice"), (3, None)], "text_id int, plain string")
+    done = pipeline.run(pipeline.State(t, match.merge_dictionary(names), genes), pipeline.FULL)
+    assert "plain" not in done.mentions.columns and [r[0] for r in done.read.select("text_id").collect()] == [1] and done.texts.count() == 3
+    # with a text beside them the filters do as with the text in them
+    m = filters.with_context(filters.unify(match.match_names(t, match.merge_dictionary(names)), t), t)
+    for rule, more in ((filters.abbreviations, ()), (filters.unspecific_names, (genes,)), (filters.validate_names, (genes,))):
+        bare = rule(m.drop("plain"), *more, texts=t)
+        assert sorted(bare.collect()) == sorted(rule(m, *more).select(*bare.columns).collect())

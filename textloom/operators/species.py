@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.text import bind
+
 HUMAN, MOUSE, RAT, FLY, YEAST = 9606, 10090, 10116, 7227, 559292
 #: Words that name a species, as patterns of whole words.
 PATTERNS: dict[str, tuple[tuple[int, ...], str]] = {
@@ -15,6 +20,15 @@ PATTERNS: dict[str, tuple[tuple[int, ...], str]] = {
     "fly": ((FLY,), r"[Ff]ruit[\s\-]?[Ff]ly|[Ff]lies|[Ff]ly|[Dd](?:\.|rosophila)\s[Mm]el(?:\.|anogaster)|[Dd](?:\.|rosophilae?)"),
     "yeast": ((YEAST,), r"[Yy]east|baker's yeast|Saccharomyces cerevisiae(?: S288c)?|[Ss]\.\s?[Cc]er(?:\.|evisiae)?|ferments?"),
 }
+#: What a line needs to hold for a hit of the pattern: one of these, all parts of one that is written as several. A plain look-up spares most lines the pattern.
+MARKS: dict[str, tuple[str | tuple[str, str], ...]] = {
+    "human": ("man", "patient", "cohort", "sap", "HTB-134", "HT-29", "293", "47D", "Ramsey", "breast cancer", "mammal", "vertebrate homolog"),
+    "mouse": ("mouse", "Mouse", "mice", "Mice", "murine", "Murine", "mus", "Mus", "C57BL", "C3H", "3T3", "STO", "Yac-1", "CTLL-2", "EGG"),
+    "rat": ("rat", "Rat", ("R.", "nor"), ("R.", "Nor"), ("r.", "nor"), ("r.", "Nor")),
+    "rodent": ("rodent", "Rodent"),
+    "fly": ("fly", "Fly", "flies", "Flies", "rosophila", "D.", "d."),
+    "yeast": ("yeast", "Yeast", "cerevisiae", ("S.", "cer"), ("S.", "Cer"), ("s.", "cer"), ("s.", "Cer"), "ferment"),
+}
 #: A line with one of these speaks of a method or a comparison, not of yeast.
 NO_YEAST = r"(?:two|2|to|1|one|3|three)[\s\-]?hybrid|Y2H|YS2H|yeast homolog"
 #: Taxa that stand for others; an empty list drops the taxon.
@@ -32,6 +46,12 @@ def names_in(pattern: str):
     return lambda line: species_names(line, pattern)
 
 
+def may_name(kind: str):
+    """Does a line hold what every hit of the species' pattern holds?"""
+    holds = lambda line, mark: line.contains(mark) if isinstance(mark, str) else line.contains(mark[0]) & line.contains(mark[1])
+    return lambda line: reduce(or_, [holds(line, m) for m in MARKS[kind]])
+
+
 def recognize(texts: DataFrame, text_col: str = "plain", default: tuple[int, ...] = (HUMAN,), assumed: tuple[int, ...] = (), only_default: bool = False) -> DataFrame:
     """texts -> with taxon_names map<int, array<string>> and taxa array<int>.
 
@@ -40,8 +60,9 @@ def recognize(texts: DataFrame, text_col: str = "plain", default: tuple[int, ...
     """
     lines = F.split(F.col(text_col), r"[\r\n]+")
     entries = []
-    for taxa, pattern in PATTERNS.values():
-        usable = F.filter(lines, lambda x: ~x.rlike(NO_YEAST)) if taxa == (YEAST,) else lines
+    for kind, (taxa, pattern) in PATTERNS.items():
+        usable = F.filter(lines, may_name(kind))
+        usable = F.filter(usable, lambda x: ~x.rlike(NO_YEAST)) if taxa == (YEAST,) else usable
         hits = F.flatten(F.transform(usable, names_in(pattern)))
         entries += [F.struct(F.lit(t).alias("taxon"), hits.alias("names")) for t in taxa]
     found = F.array(*entries)
@@ -76,6 +97,22 @@ def normalize_taxa(rows: DataFrame, mapping: dict[int, list[int]] | None = None)
     return new.groupBy("text_id", "taxon").agg(F.flatten(F.sort_array(F.collect_list("names"))).alias("names"))
 
 
+def clean(names: Column) -> Column:
+    """``normalize_taxa`` and ``drop_ambiguous`` on a text's map taxon -> names: null if no taxon is left. All in the row: no shuffle."""
+    to = F.map_from_arrays(F.array(*[F.lit(k) for k in NORMAL]), F.array(*[F.array(*[F.lit(x) for x in v]).cast("array<int>") for v in NORMAL.values()]))
+    moved = lambda e: F.transform(F.coalesce(F.try_element_at(to, e["key"]), F.array(e["key"])), lambda t: F.struct(t.alias("taxon"), e["value"].alias("names")))
+    rows = F.flatten(F.transform(F.map_entries(names), moved))
+
+    def merged(all_rows: Column) -> Column:
+        own = lambda t: F.flatten(F.sort_array(F.transform(F.filter(all_rows, lambda r: r["taxon"] == t), lambda r: r["names"])))
+        return F.transform(F.array_distinct(F.transform(all_rows, lambda r: r["taxon"])), lambda t: F.struct(t.alias("taxon"), own(t).alias("names")))
+
+    def doubtful(r: Column) -> Column:
+        return F.exists(F.array(*[(r["taxon"] == taxon) & F.forall(r["names"], whole_word(pattern)) for taxon, pattern in AMBIGUOUS.items()]), lambda x: x)
+
+    return bind(F.filter(bind(rows, merged), lambda r: ~doubtful(r)), lambda kept: F.when(F.size(kept) > 0, F.map_from_entries(kept)))
+
+
 def whole_word(pattern: str):
     return lambda name: name.rlike(f"^(?:{pattern})$")
 

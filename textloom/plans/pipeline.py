@@ -1,7 +1,9 @@
-"""Pipelines: texts in, identified genes out, as one lazy plan."""
+"""Pipelines: texts in, identified genes out, as one lazy plan, or in FULL by tables in the shared folder."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -29,13 +31,17 @@ class Config:
 
 @dataclass(frozen=True)
 class State:
-    """What a step takes and gives: DataFrames, so nothing runs until a result is asked for."""
+    """What a step takes and gives: DataFrames, so nothing runs until a result is asked for or a step stores its own.
+
+    ``read``: the texts that hold mentions, once mentions are stored without their text.
+    """
 
     texts: DataFrame
     dictionary: DataFrame
     genes: DataFrame
     mentions: DataFrame | None = None
     identified: DataFrame | None = None
+    read: DataFrame | None = None
     config: Config = field(default_factory=Config)
 
     def with_(self, **changes) -> State:
@@ -63,12 +69,9 @@ def find_species(s: State) -> State:
 
 def clean_species(s: State) -> State:
     """Normalises taxa and drops those with ambiguous names only."""
-    rows = s.texts.select("text_id", F.explode("taxon_names").alias("taxon", "names"))
-    rows = species.drop_ambiguous(species.normalize_taxa(rows))
-    back = rows.groupBy(F.col("text_id").alias("r_text")).agg(F.map_from_entries(F.collect_list(F.struct("taxon", "names"))).alias("r_names"))
-    joined = s.texts.join(back, F.col("text_id") == F.col("r_text"), "left").drop("r_text")
+    cleaned = s.texts.withColumn("r_names", species.clean(F.col("taxon_names")))
     taxa = F.when(F.col("r_names").isNull(), F.col("taxa")).otherwise(F.array_sort(F.map_keys("r_names")))
-    return s.with_(texts=joined.withColumn("taxa", taxa).withColumn("taxon_names", F.coalesce("r_names", "taxon_names")).drop("r_names"))
+    return s.with_(texts=cleaned.withColumn("taxa", taxa).withColumn("taxon_names", F.coalesce("r_names", "taxon_names")).drop("r_names"))
 
 
 def find_names(s: State) -> State:
@@ -102,6 +105,11 @@ def align(s: State) -> State:
     return s.with_(mentions=filters.align_candidates(s.mentions, s.genes, s.config.alignment_threshold))
 
 
+def text_step(rule: Callable[..., DataFrame], genes: bool = False) -> Step:
+    """A step from a filter that reads the mentions' texts beside them."""
+    return lambda s: s.with_(mentions=rule(s.mentions, *[s.genes] * genes, texts=s.texts if s.read is None else s.read))
+
+
 def _add(s: State, rows: DataFrame) -> State:
     return s.with_(identified=rows if s.identified is None else s.identified.unionByName(rows))
 
@@ -127,7 +135,7 @@ def by_species_frequency(s: State) -> State:
     keys = ["text_id", "begin", "end", "name"]
     others = [c for c in s.mentions.columns if c not in (*keys, "candidates")]
     rows = s.mentions.select(*keys, F.explode("candidates").alias("gene_id")).join(s.genes.select("gene_id", "taxon"), "gene_id", "left")
-    kept = filters.species_frequency(rows, species.frequencies(s.texts)).groupBy(*keys).agg(F.sort_array(F.collect_set("gene_id")).alias("kept"))
+    kept = filters.species_frequency(rows, species.frequencies(s.texts if s.read is None else s.read)).groupBy(*keys).agg(F.sort_array(F.collect_set("gene_id")).alias("kept"))
     none = F.array().cast("array<string>")
     joined = s.mentions.join(kept, keys, "left").select(*keys, F.coalesce("kept", none).alias("candidates"), *others)
     return s.with_(mentions=joined.select(*s.mentions.columns))
@@ -147,6 +155,10 @@ def disambiguate(scores: Callable[[DataFrame], DataFrame], features: tuple[str,
 
 
 def additional(s: State) -> State:
+    if not s.config.additional_filters:
+        return s
+    if s.read is not None:  # filters of a user's own may look for the text
+        s = s.with_(mentions=filters.with_text(s.mentions, s.read))
     return s.with_(mentions=filters.run_named(s.mentions, list(s.config.additional_filters), genes=s.genes, texts=s.texts, threshold=s.config.alignment_threshold))
 
 
@@ -155,6 +167,42 @@ def keep(s: State) -> State:
     return s.with_(mentions=s.mentions.persist(StorageLevel.MEMORY_AND_DISK))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the folder that driver and executors share (``spark.checkpoint.dir``), removed when the application ends.
+
+    The plan behind it goes too: a plan of all steps outgrows the driver's heap. A session of one process may have no such folder.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="textloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/textloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    df.write.parquet(path)
+    return spark.read.option("parquet.hadoop.vectored.io.enabled", "false").schema(df.schema).parquet(path)
+
+
+def store_texts(s: State) -> State:
+    return s.with_(texts=stored(match.bounded_batches(s.texts), "texts"))
+
+
+def store_mentions(s: State) -> State:
+    """Stores the mentions without their text, and the first time the texts that hold any: later steps read no others."""
+    mentions = stored(s.mentions.drop("plain"), "mentions")
+    if s.read is not None:
+        return s.with_(mentions=mentions)
+    held = s.texts.join(mentions.select(F.col("text_id").alias("m_text")).distinct(), F.col("text_id") == F.col("m_text"), "left_semi")
+    return s.with_(mentions=mentions, read=stored(held, "read"))
+
+
+def store_identified(s: State) -> State:
+    return s.with_(identified=stored(s.identified, "identified"))
+
+
 #: The pipelines of the clients, as lists of steps.
 SIMPLE: list[Step] = [find_species, find_names, identify_all]
 INLINE: list[Step] = [
@@ -162,9 +210,9 @@ INLINE: list[Step] = [
     mention_step(filters.abbreviations), keep, identify_unambiguous, gene_step(filters.unspecific_names), keep, gene_step(filters.validate_names), keep, by_species_frequency,
 ]
 FULL: list[Step] = [
-    expand_names, find_species, clean_species, find_names, unify, add_context, mention_step(filters.immediate_context), keep,
-    mention_step(filters.abbreviations), keep, identify_unambiguous, gene_step(filters.unspecific_names), keep, align, keep,
-    gene_step(filters.validate_names), keep, by_species_frequency, additional, identify_all,
+    expand_names, find_species, clean_species, store_texts, find_names, unify, mention_step(filters.general_names), add_context, mention_step(filters.immediate_context), store_mentions,
+    text_step(filters.abbreviations), store_mentions, identify_unambiguous, store_identified, text_step(filters.unspecific_names, genes=True), store_mentions, align, store_mentions,
+    text_step(filters.validate_names, genes=True), store_mentions, by_species_frequency, additional, identify_all,
 ]
 SERVICE: list[Step] = [unify, add_context, mention_step(filters.immediate_context), keep, gene_step(filters.unspecific_names), keep, align, keep, by_species_frequency, identify_all]
 
